@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparmat.llm import clusters
 from sparmat.llm.quantiles import exact_percentiles, merge_sketches, sketch, sketch_percentiles
+from sparmat.llm.vectors import usable
 from sparmat.session import current, scratch_table, table
 
 FRACTIONS = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -55,7 +57,52 @@ def p5_sample_percentiles_exact(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_sample_percentiles, p5_sample_percentiles_exact)}
+DIM = 32
+UMAP_REACH = 2.5
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(cells with a usable vector and their cluster, cells placed by umap only)."""
+    cells = scratch_table(
+        current(table(spark, d, "obsm"), ["obs_id"]).select(
+            "obs_id", "spectral", F.when(usable_umap("umap"), F.col("umap").cast("array<double>")).alias("umap"), usable(F.col("spectral"), DIM).alias("ok")
+        ),
+        "obsm-current",
+    )
+    points = clusters.prepare(cells.where("ok"), DIM, "spectral", ["obs_id", "umap"])
+    dirs = clusters.fit(points, DIM)
+    members = clusters.assign(points, dirs, DIM, ["obs_id", "umap"])
+    # one row per cluster; the driver already holds a direction for each
+    means = members.groupBy("cluster").agg(F.avg(F.col("umap")[0]).alias("mx"), F.avg(F.col("umap")[1]).alias("my")).where("mx IS NOT NULL")
+    rest = cells.where("NOT ok AND umap IS NOT NULL").select("obs_id", "umap")
+    gap = F.sqrt(F.pow(F.col("umap")[0] - F.col("mx"), 2) + F.pow(F.col("umap")[1] - F.col("my"), 2))
+    # a grid of cells as wide as the reach turns the search into an equality join
+    side = lambda c, name: F.floor(c / UMAP_REACH).alias(name)
+    around = F.explode(F.expr("transform(sequence(0, 8), i -> struct(i div 3 - 1 AS dx, i % 3 - 1 AS dy))"))
+    means = means.select("*", side(F.col("mx"), "gx"), side(F.col("my"), "gy"), around.alias("o"))
+    means = means.select("cluster", "mx", "my", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
+    near = rest.select("*", side(F.col("umap")[0], "gx"), side(F.col("umap")[1], "gy")).join(means, ["gx", "gy"]).where(gap < UMAP_REACH)
+    return members, near.groupBy("obs_id").agg(F.min_by("cluster", gap).alias("cluster"))
+
+
+def usable_umap(c: str):
+    return (F.size(c) == 2) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    members, by_umap = _clustered(spark, d)
+    rows = scratch_table(members.select("obs_id", "cluster").unionByName(by_umap), "clustered")
+    first = rows.groupBy("cluster").agg(F.min("obs_id").alias("first_obs_id"))
+    return rows.join(F.broadcast(first), "cluster").select("obs_id", "first_obs_id")  # one row per cluster
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = _clustered(spark, d)
+    t = clusters.typical(members, "obs_id", 5)
+    return t.select(F.col("first_id").alias("first_obs_id"), F.col("size").alias("cells"), F.col("typical").alias("typical_obs_ids"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact)}
 
 _P5 = r"""
 WITH k AS (SELECT DISTINCT lower(regexp_replace(sample, '^\s+|\s+$', '', 'g')) AS sample FROM metadata WHERE sample IS NOT NULL),
