@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparmat.llm import clusters
+from sparmat.llm import clusters, neighbours
 from sparmat.llm.quantiles import exact_percentiles, merge_sketches, sketch, sketch_percentiles
 from sparmat.llm.vectors import usable
 from sparmat.session import current, scratch_table, table
@@ -102,7 +102,24 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("first_id").alias("first_obs_id"), F.col("size").alias("cells"), F.col("typical").alias("typical_obs_ids"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact)}
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Current obsm rows with 32 finite numbers, not all zero, scaled to length 1: (id, vec)."""
+    rows = current(table(spark, d, "obsm").select("obs_id", "spectral", "loaded_at"), ["obs_id"]).where(usable(F.col("spectral"), DIM))
+    return clusters.prepare(rows.select(F.col("obs_id").alias("id"), "spectral"), DIM, "spectral", ["id"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest_rows(_cells(spark, d), DIM, 5, least_cos=0.9995)
+    return near.select(F.least("id", "other").alias("obs_a"), F.greatest("id", "other").alias("obs_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Queries: the cells whose obs_id is divisible by 50, against all cells."""
+    near = neighbours.nearest_rows(_cells(spark, d), DIM, 5, pick=F.col("id") % 50 == 0)
+    return near.select(F.col("id").alias("obs_id"), F.col("other").alias("neighbour"), "rank", F.round("cos", 6).alias("cosine"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact, p6_found, p6_neighbours)}
 
 _P5 = r"""
 WITH k AS (SELECT DISTINCT lower(regexp_replace(sample, '^\s+|\s+$', '', 'g')) AS sample FROM metadata WHERE sample IS NOT NULL),
