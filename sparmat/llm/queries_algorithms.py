@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparmat.llm import clusters, neighbours
+from sparmat.llm.mapping import map_to_genes
 from sparmat.llm.quantiles import exact_percentiles, merge_sketches, sketch, sketch_percentiles
 from sparmat.llm.vectors import usable
 from sparmat.session import current, scratch_table, table
@@ -119,7 +120,17 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("obs_id"), F.col("other").alias("neighbour"), "rank", F.round("cos", 6).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact, p6_found, p6_neighbours)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return map_to_genes(table(spark, d, "transcript"), table(spark, d, "genes"), ["tx_row_id"]).select("tx_row_id", "uid")
+
+
+def p2_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that stand for no entry, with the rows that hold them."""
+    rows = map_to_genes(table(spark, d, "transcript"), table(spark, d, "genes"), ["tx_row_id"]).where("uid = 'none'")
+    return rows.groupBy("gene_name", "gene_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact, p6_found, p6_neighbours)}
 
 _P5 = r"""
 WITH k AS (SELECT DISTINCT lower(regexp_replace(sample, '^\s+|\s+$', '', 'g')) AS sample FROM metadata WHERE sample IS NOT NULL),
