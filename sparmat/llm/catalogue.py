@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparmat.llm import queries_algorithms
+from sparmat.llm import queries_algorithms, queries_texts
 
-MODULES = (queries_algorithms,)
+MODULES = (queries_algorithms, queries_texts)
 
 
 def queries() -> dict:
