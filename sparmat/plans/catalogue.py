@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparmat.plans import core_problems
+from sparmat.plans import core_problems, q_matrix
 
-MODULES = (core_problems,)
-FLAGSHIP = "p1_found"
+MODULES = (core_problems, q_matrix)
+FLAGSHIP = "pseudobulk"
 
 
 def queries() -> dict:
