@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparmat.plans import core_problems, q_matrix
+from sparmat.plans import core_problems, q_matrix, q_relational
 
-MODULES = (core_problems, q_matrix)
+MODULES = (core_problems, q_matrix, q_relational)
 FLAGSHIP = "pseudobulk"
 
 
