@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparmat.plans import core_problems, q_matrix, q_relational
+from sparmat.plans import core_problems, q_genome, q_matrix, q_relational
 
-MODULES = (core_problems, q_matrix, q_relational)
+MODULES = (core_problems, q_genome, q_matrix, q_relational)
 FLAGSHIP = "pseudobulk"
 
 
