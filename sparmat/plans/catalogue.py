@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparmat.plans import core_problems, q_genome, q_matrix, q_ranks, q_relational
+from sparmat.plans import core_problems, q_genome, q_graph, q_matrix, q_ranks, q_relational
 
-MODULES = (core_problems, q_genome, q_matrix, q_ranks, q_relational)
+MODULES = (core_problems, q_genome, q_graph, q_matrix, q_ranks, q_relational)
 FLAGSHIP = "pseudobulk"
 
 
