@@ -66,7 +66,7 @@ _P1 = r"""
 WITH p AS (
   SELECT call_set, upper(regexp_extract(chr, '^\s*(?:[a-z][a-z0-9]*[\s_.:-]+)?(?:chr(?:om(?:osome)?)?)?[\s_.:-]*0*([0-9]+|[a-z])\s*$', 1, 'i')) AS l,
          start AS s, "end" AS e FROM peaks WHERE 0 <= start AND start < "end"),
-k AS (SELECT call_set, chrom AS chr, s, e FROM p JOIN chrom_sizes c ON p.l = upper(regexp_extract(c.chrom, '^chr(.*)$', 1))),
+k AS (SELECT DISTINCT call_set, chrom AS chr, s, e FROM p JOIN chrom_sizes c ON p.l = upper(regexp_extract(c.chrom, '^chr(.*)$', 1))),
 m AS (SELECT *, max(e) OVER (PARTITION BY call_set, chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM k),
 i AS (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END)
         OVER (PARTITION BY call_set, chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM m),
