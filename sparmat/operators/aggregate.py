@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparmat.model import Matrix
+from sparmat.session import running_totals
 
 
 def pseudobulk(m: Matrix, by: str, quantiles: bool = False) -> DataFrame:
@@ -181,9 +181,11 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """
     pos = F.when(F.col(label), 1).otherwise(0)
     d = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(pos).alias("p"), F.count(F.lit(1)).alias("n"))
-    up = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = d.select("p", "n", (F.sum("n").over(up) - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("all"))
+    r = running_totals(d, [score], ["p", "n"])  # sums from below; from above they are the rest
+    all_p, all_n = d.agg(F.sum("p").alias("x")).scalar(), d.agg(F.sum("n").alias("x")).scalar()
+    r = r.select(
+        "p", "n", (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), (all_p - F.col("run_p") + F.col("p")).alias("tp"), (all_n - F.col("run_n") + F.col("n")).alias("all")
+    )
     s = r.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("rank") * F.col("p")).alias("R"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"))
     return s.select(((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * (F.col("N") - F.col("P")))).alias("auroc"), (F.col("ap") / F.col("P")).alias("average_precision"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparmat.model import Matrix
+from sparmat.session import running_totals
 
 
 def normalize_total(m: Matrix, target: float | None = None) -> DataFrame:
@@ -80,9 +80,7 @@ def stable_variables(m: Matrix, n: int, detection: float) -> DataFrame:
 def top_accessible(entries: DataFrame, lower: float, upper: float, n: int) -> DataFrame:
     """Variables by total: the lower and upper share by rank are cut, the n largest of the rest are kept."""
     t = entries.groupBy("var_id").agg(F.sum("value").alias("total")).where("total > 0")
-    # ranks over one row a variable, by distinct totals first
-    w = Window.orderBy("total", "var_id")
-    k = t.withColumn("r", F.row_number().over(w))
+    k = running_totals(t.withColumn("one", F.lit(1)), ["total", "var_id"], ["one"]).withColumnRenamed("run_one", "r")
     size = t.agg(F.count(F.lit(1)).alias("x")).scalar()
     kept = k.where((F.col("r") > F.floor(lower * size)) & (F.col("r") <= size - F.floor(upper * size)))
     return top_rows(kept.select("var_id", "total"), [F.col("total").desc(), "var_id"], n)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sparmat.functions.stats import binomial_tail, chi2_tail, ln_choose
 from sparmat.model import Matrix
+from sparmat.session import running_totals, scratch_table
 
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -142,13 +143,14 @@ def robust_rank_aggregate(ranks: DataFrame, columns: Sequence[str]) -> DataFrame
 
 def relative_ranks(df: DataFrame, columns: dict[str, bool]) -> DataFrame:
     """Average-tie ranks over the number of rows per column (True: falling, False: rising); equal values are compressed first."""
+    df = scratch_table(df, "scores")  # read once a column
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = df
     for c, falling in columns.items():
         d = df.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
         order = F.col(c).desc_nulls_last() if falling else F.col(c).asc_nulls_last()
-        w = Window.orderBy(order).rowsBetween(*UP_TO)  # one row a distinct score
-        r = d.select(F.col(c).alias("_v"), ((F.sum("_k").over(w) - (F.col("_k") - 1) / 2)).alias(f"rank_{c}"))
+        d = running_totals(d, [order], ["_k"])
+        r = d.select(F.col(c).alias("_v"), (F.col("run__k") - (F.col("_k") - 1) / 2).alias(f"rank_{c}"))
         out = out.join(r, F.col(c).eqNullSafe(F.col("_v"))).drop("_v").withColumn(f"rank_{c}", F.col(f"rank_{c}") / n)
     return out
 

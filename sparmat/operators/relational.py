@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparmat.session import running_totals
+
 
 # --- metadata columns -------------------------------------------------------------------------------
 def define_column(df: DataFrame, name: str, default) -> DataFrame:
@@ -143,17 +145,10 @@ def attach_best(df: DataFrame, extra: DataFrame, key: str, order: Sequence[Colum
 
 
 def link_keys(a: DataFrame, b: DataFrame, key: str, left: str, right: str, prefix: str) -> DataFrame:
-    """Rows of two tables that share a key get one unified id, numbered by the key's order.
-
-    The number is a dense rank without a global sort: keys are range-partitioned, ranked within their
-    partition, and the partitions' counts are added up.
-    """
-    both = a.select(key, F.col(left)).join(b.select(key, F.col(right)), key)
-    parts = both.repartitionByRange(key).sortWithinPartitions(key, left, right)
-    parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key, left, right)))
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))  # one row a partition
-    return parts.join(before, "_p").select(key, left, right, F.concat(F.lit(prefix), (F.col("_o") + F.col("_r")).cast("string")).alias("unified"))
+    """Rows of two tables that share a key get one unified id, numbered in the order of (key, left, right)."""
+    both = a.select(key, F.col(left)).join(b.select(key, F.col(right)), key).withColumn("_one", F.lit(1))
+    n = running_totals(both, [key, left, right], ["_one"])
+    return n.select(key, left, right, F.concat(F.lit(prefix), F.col("run__one").cast("string")).alias("unified"))
 
 
 def merge_samples(samples: Mapping[str, DataFrame], join: str) -> DataFrame:

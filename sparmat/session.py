@@ -68,3 +68,20 @@ def current(df: DataFrame, keys: Sequence[str], version: str = "loaded_at") -> D
     """
     w = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.xxhash64(*[F.col(c) for c in df.columns]))
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def running_totals(df: DataFrame, order: Sequence, values: Sequence[str]) -> DataFrame:
+    """Adds ``run_<value>``: running sums over a total order of the whole table, without one task for all rows.
+
+    Rows are range-partitioned by the order and written with their partition's number (so that both uses below see
+    the same partitions), summed up within a partition, and raised by the totals of the earlier ones (one row a partition).
+    Rows that tie in ``order`` get their sums in an arbitrary order: make it a total one.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = scratch_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    sums = sums.select("_part", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
+    out = parts.withColumns({f"run_{v}": F.sum(v).over(upto) for v in values}).join(sums, "_part")
+    return out.withColumns({f"run_{v}": F.col(f"run_{v}") + F.col(f"_o_{v}") for v in values}).drop("_part", *[f"_o_{v}" for v in values])
