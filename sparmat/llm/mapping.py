@@ -6,8 +6,8 @@ every entry within d edits without comparing against the list; the few candidate
 Damerau-Levenshtein distance, ranked by a weighted distance and then by how often the entry is used,
 and values that stand for no entry are reported.
 
-The dictionary is broadcast while the list has at most ``MOST_ENTRIES`` spellings (about 70 strings of a
-dozen letters each); for a longer list the same strings are joined instead (``nearest_by_join``).
+A broadcast dictionary holds at most about ``MOST_ENTRIES`` entries (each about 70 strings of a dozen letters a
+spelling); a longer list is cut into several, or its strings are joined instead (``nearest_by_join``).
 """
 
 from __future__ import annotations
@@ -173,45 +173,62 @@ class GeneMatcher:
                         best = hit
         return best
 
-    def match(self, name: str | None, ident: str | None) -> str:
-        """uid, or 'none'."""
+    def best(self, name: str | None, ident: str | None) -> tuple[int, float, int, str] | None:
+        """(tier, weighted distance, -uses, uid): ids of the id field, ids of the name field, names of the name field, names of the id field."""
         key = (name, ident)
         if key in self.memo:
             return self.memo[key]
         a, b = clean(name), clean(ident)
-        hit = self._by_id(b) or self._by_id(a) or self._by_name(a) or self._by_name(b)
-        uid = hit[2] if hit else "none"
+        found = None
+        for tier, (look, text) in enumerate(((self._by_id, b), (self._by_id, a), (self._by_name, a), (self._by_name, b))):
+            hit = look(text)
+            if hit:
+                found = (tier, *hit)
+                break
         if len(self.memo) >= 200_000:
             self.memo.clear()
-        self.memo[key] = uid
-        return uid
+        self.memo[key] = found
+        return found
+
+    def match(self, name: str | None, ident: str | None) -> str:
+        """uid, or 'none'."""
+        found = self.best(name, ident)
+        return found[3] if found else "none"
 
 
-def map_to_genes(rows: DataFrame, genes: DataFrame, keep: list[str], name: str = "gene_name", ident: str = "gene_id") -> DataFrame:
+def map_to_genes(rows: DataFrame, genes: DataFrame, keep: list[str], name: str = "gene_name", ident: str = "gene_id", most_entries: int = MOST_ENTRIES) -> DataFrame:
     """(keep, name, ident, uid): the entry of every row that is not literally one; 'none' if it stands for no entry.
 
     Null, empty and sentinel fields are missing values; very long fields are looked up part by part;
     repeated values are looked up once per task. Nothing but the literal rows' anti-join is shuffled,
     so a value that a third of all rows share costs no imbalance. Columns of ``rows`` that are not asked
-    for are ignored. ``genes`` (uid, id, gene, alias) is collected to the driver only after its number
-    of rows was checked; its use counts are the literal rows of ``rows``.
+    for are ignored. ``genes`` (uid, id, gene, alias) is cut by a hash of the uid into groups of about
+    ``most_entries``; each is collected and broadcast as a dictionary of its own, and the rows pass through one
+    after the other, keeping the best entry so far. Use counts are the literal rows of ``rows``.
     """
     literal = genes.select(F.col("gene").alias("_g"), F.col("id").alias("_i")).distinct()
     free = rows.select(*keep, name, ident).join(literal, (F.col(name) == F.col("_g")) & (F.col(ident) == F.col("_i")), "left_anti")
-    if genes.count() > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries: use nearest_by_join, which needs no broadcast")
     uses = rows.groupBy(F.col(name).alias("gene"), F.col(ident).alias("id")).agg(F.count(F.lit(1)).alias("uses"))
     listed = genes.select("uid", "id", "gene", "alias").join(uses, ["gene", "id"], "left").select("uid", "id", "gene", "alias", F.coalesce("uses", F.lit(0)).alias("uses"))
-    matcher = rows.sparkSession.sparkContext.broadcast(GeneMatcher([tuple(r) for r in listed.orderBy("uid").collect()]))
     fields = {f.name: f.dataType.simpleString() for f in free.schema.fields}
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher.value
-        for b in batches:
-            uid = [m.match(n, i) for n, i in zip(b.column(name).to_pylist(), b.column(ident).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(uid, pa.string())], names=[*b.schema.names, "uid"])
-
-    return free.mapInArrow(look_up, ", ".join([f"`{c}` {fields[c]}" for c in free.columns] + ["uid string"]))
+    groups = max(1, -(-genes.count() // most_entries))
+    out = free.withColumns({"_tier": F.lit(None).cast("int"), "_dist": F.lit(None).cast("double"), "_use": F.lit(None).cast("bigint"), "_uid": F.lit(None).cast("string")})
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in free.columns] + ["_tier int, _dist double, _use bigint, _uid string"])
+    for g in range(groups):
+        part = listed.where(F.pmod(F.xxhash64("uid"), F.lit(groups)) == g) if groups > 1 else listed
+        matcher = rows.sparkSession.sparkContext.broadcast(GeneMatcher([tuple(r) for r in part.orderBy("uid").collect()]))
+
+        def look_up(batches: Iterator[pa.RecordBatch], matcher=matcher, own=tuple(free.columns)) -> Iterator[pa.RecordBatch]:
+            m = matcher.value
+            for b in batches:
+                old = list(zip(*[b.column(c).to_pylist() for c in ("_tier", "_dist", "_use", "_uid")]))
+                new = [m.best(n, i) for n, i in zip(b.column(name).to_pylist(), b.column(ident).to_pylist())]
+                won = [x if o[0] is None or (x and x < o) else o for x, o in zip(new, old)]
+                cols = [pa.array([w[j] if w else None for w in won], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], *cols], names=[*own, "_tier", "_dist", "_use", "_uid"])
+
+        out = out.mapInArrow(look_up, schema)
+    return out.select(*free.columns, F.coalesce("_uid", F.lit("none")).alias("uid"))
 
 
 def nearest_by_join(values: DataFrame, value: str, entries: DataFrame, spelling: str, entry: str, edits: int = 2) -> DataFrame:

@@ -83,6 +83,7 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "r bigint, gene_name string, gene_id string, uid int")
     got = sorted((r.r, r.uid) for r in map_to_genes(df, genes, ["r"]).collect())
     assert got == [(2, "u1"), (3, "none"), (4, "u4"), (4, "u4")]
+    assert got == sorted((r.r, r.uid) for r in map_to_genes(df, genes, ["r"], most_entries=1).collect())
     assert map_to_genes(df.limit(0), genes, ["r"]).collect() == []
     assert {r.uid for r in map_to_genes(df, genes.limit(0), ["r"]).collect()} == {"none"}
 
