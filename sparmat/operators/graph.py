@@ -78,22 +78,42 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, steps: int) -> DataFra
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable; min-label rounds with pointer jumping, each written to the shared folder.
+    """(node, component): smallest node reachable; each round contracts the graph and is written to the shared folder.
 
-    The number of rounds grows with the logarithm of the longest path; the driver only sees a count.
+    Every node hooks to its smallest neighbour, the trees that arise are flattened by pointer jumping, and the edges
+    between their roots are the next round's graph. Each node of a round meets at least one other, so a round at least
+    halves them: the rounds, and the jumps within one, grow with the logarithm of the nodes. It ends when no edge is left;
+    an error is raised if that takes more than ``most_rounds``. The driver only sees counts. Edges to nodes that are not in
+    ``nodes`` do not count.
     """
-    both = scratch_table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    lab = scratch_table(nodes.select("node", F.col("node").alias("component")), "components")
-    for _ in range(most_rounds):
-        near = both.join(lab, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        one = lab.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        up = lab.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = scratch_table(one.join(up, "component", "left").select("node", F.least("component", F.coalesce("top", "component")).alias("component"), "old"), "components")
-        changed = new.where("component <> old").limit(1).count()
-        lab = new.select("node", "component")
-        if not changed:
-            break
-    return lab
+    known = scratch_table(nodes.select("node").distinct(), "nodes")
+    e = edges.select("src", "dst").where("src <> dst")
+    for end in ("src", "dst"):
+        e = e.join(known.select(F.col("node").alias(end)), end, "left_semi")
+    e = scratch_table(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    roots = known.select("node", F.col("node").alias("root"))
+    rounds = 0
+    while e.limit(1).count():
+        if rounds == most_rounds:
+            raise RuntimeError(f"connected_components: not converged after {most_rounds} rounds")
+        rounds += 1
+        near = scratch_table(e.groupBy("src").agg(F.min("dst").alias("up")), "hooks")
+        # a chain of smallest neighbours ends in two nodes that name each other: the smaller is the root
+        back = near.select(F.col("src").alias("up"), F.col("up").alias("back"))
+        own = (F.col("back") == F.col("src")) & (F.col("src") < F.col("up"))
+        up = scratch_table(near.join(back, "up").select("src", F.when(own, F.col("src")).otherwise(F.col("up")).alias("up")), "hooks")
+        moved = 1
+        while moved:
+            top = up.select(F.col("src").alias("up"), F.col("up").alias("top"))
+            jumped = scratch_table(up.join(top, "up").select("src", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "hooks")
+            moved = jumped.where("moved").limit(1).count()
+            up = jumped.select("src", "up")
+        roots = scratch_table(roots.join(up.withColumnRenamed("src", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        for end in ("src", "dst"):
+            e = e.join(up.select(F.col("src").alias(end), F.col("up").alias(f"_{end}")), end).drop(end)
+        e = scratch_table(e.where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "edges")
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return nodes.select("node").join(roots.join(least, "root").select("node", "component"), "node", "left")
 
 
 # --- similarity --------------------------------------------------------------------------------------

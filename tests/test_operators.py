@@ -91,6 +91,18 @@ def test_components(spark):
     assert {r.node: r.component for r in got.collect()} == {n: root(n) for n in nodes}
 
 
+def test_components_of_long_paths(spark):
+    """A path of shuffled ids: labels handed on hop by hop need more rounds than there are."""
+    ids = list(range(100))
+    random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (7, 900)], "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 500]], "node int")
+    got = H.connected_components(edges, nodes).collect()
+    assert {(r.node, r.component) for r in got} == {(i, 0) for i in ids} | {(500, 500)} and len(got) == 101
+    with pytest.raises(RuntimeError):
+        H.connected_components(edges, nodes, 1)
+
+
 def test_models(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, size=(60, 4)) for c in (0, 3, 9)])
