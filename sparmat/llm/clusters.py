@@ -340,9 +340,10 @@ def prepare(df: DataFrame, dim: int, vec: str, keep: list[str]) -> DataFrame:
     return scratch_table(df.select(*keep, vec).mapInArrow(scale, schema), "unit-vectors")
 
 
-def typical(assigned: DataFrame, ident: str, k: int) -> DataFrame:
+def typical(assigned: DataFrame, ident: str, k: int, placed: DataFrame | None = None) -> DataFrame:
     """(cluster, size, first_id, typical): the k members nearest to the direction, nearest first, ties by id.
 
+    ``placed`` (ident, cluster) are further members without a distance: they count for size and first_id, and are never typical.
     Each partition keeps its k best per cluster before the shuffle; the sizes are a plain aggregate.
     """
 
@@ -358,5 +359,7 @@ def typical(assigned: DataFrame, ident: str, k: int) -> DataFrame:
     rows = assigned.select(F.col(ident), "cluster", "dist")
     top = rows.mapInArrow(best, rows.schema)
     members = F.slice(F.array_sort(F.collect_list(F.struct("dist", ident))), 1, k)  # at most k rows a partition and cluster
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min(ident).alias("first_id"))
+    every = assigned.select(ident, "cluster")
+    every = every if placed is None else every.unionByName(placed.select(ident, "cluster"))
+    sizes = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min(ident).alias("first_id"))
     return sizes.join(top.groupBy("cluster").agg(F.transform(members, lambda m: m[ident]).alias("typical")), "cluster")

@@ -98,8 +98,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    members, _ = _clustered(spark, d)
-    t = clusters.typical(members, "obs_id", 5)
+    """Size and smallest id count the cells placed by umap too; typical cells are those with a vector."""
+    members, by_umap = _clustered(spark, d)
+    t = clusters.typical(members, "obs_id", 5, by_umap)
     return t.select(F.col("first_id").alias("first_obs_id"), F.col("size").alias("cells"), F.col("typical").alias("typical_obs_ids"))
 
 

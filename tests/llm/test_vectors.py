@@ -57,6 +57,21 @@ def test_bisecting_finds_planted_clusters(spark, local_rows):
     assert top[0].typical == np.nonzero(label == 0)[0][np.argsort(-(x[label == 0] @ m))[:3]].tolist()
 
 
+def test_clusters_count_cells_placed_by_umap(spark, tmp_path):
+    x, label = planted()
+    at = {k: [10.0 * k, 0.0] for k in range(5)}
+    rows = [(i + 10, [float(v) for v in r], at.get(int(k), [500.0 + i, 500.0]), 1) for i, (r, k) in enumerate(zip(x, label))]
+    rows += [(3, None, [0.5, 0.0], 1), (9000, [0.0] * DIM, [0.0, 1.0], 1), (9001, None, [300.0, 300.0], 1)]
+    spark.createDataFrame(rows, "obs_id bigint, spectral array<float>, umap array<float>, loaded_at int").write.parquet(str(tmp_path / "obsm.parquet"))
+    from sparmat.llm import queries_algorithms as Q
+
+    got = {r.first_obs_id: r for r in Q.p4_clusters(spark, str(tmp_path)).collect()}
+    assert got[3].cells == 302 and sorted(r.cells for r in got.values()) == [7, 20, 60, 150, 302]
+    assert not {3, 9000, 9001} & {i for r in got.values() for i in r.typical_obs_ids}
+    found = [r.first_obs_id for r in Q.p4_found(spark, str(tmp_path)).collect()]
+    assert {f: found.count(f) for f in found} == {f: r.cells for f, r in got.items()}
+
+
 def test_copies_only_and_empty(spark):
     x = np.tile(unit(np.ones((1, DIM))), (40, 1))
     assert len(clusters.fit(frame(spark, x), DIM, clusters.Limits(local_rows=10))) == 1
