@@ -160,6 +160,19 @@ def clone_pairwise(s, d):
     return _r(A.pairwise_transition(clone_matrix(s, d), "clone", "cluster", "1-URGENT"), "transition")
 
 
+def _whole_clones(s, d):
+    """As _clones, every customer a clone of its own."""
+    return table(s, d, "orders").select(F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("clone"), F.col("o_orderpriority").alias("cluster"), F.col("o_orderstatus").alias("sample"), "o_orderkey")
+
+
+def clone_size_whole(s, d):
+    return _r(A.clone_size(_whole_clones(s, d), "clone", "sample", 20).select("o_orderkey", "clone_size", "expanded", "relative_size"), "relative_size")
+
+
+def clone_matrix_whole(s, d):
+    return A.clone_matrix(_whole_clones(s, d), "clone", "cluster")
+
+
 def auroc(s, d):
     return _r(A.auroc(table(s, d, "lineitem").select("l_extendedprice", (F.col("l_returnflag") == "R").alias("y")), "l_extendedprice", "y"), "auroc", "average_precision")
 
@@ -167,7 +180,7 @@ def auroc(s, d):
 FUNCS = (
     pseudobulk, pseudobulk_quantiles, aggregate_var, aggregate_block, grouped_rates, summary_cube, crosstab_columns, crosstab_index, crosstab_all, attached_mode, qc_metrics,
     outliers_mad, outliers_tukey, normalize_total, log1p_layer, clr, zscore, normalize_row, normalize_column, hvg_binned, hvg_top_n, stable_variables, top_accessible, size_factors,
-    markers, clone_size, clone_matrix, clone_expansion, clone_plasticity, clone_transition, clone_pairwise, auroc,
+    markers, clone_size, clone_matrix, clone_expansion, clone_plasticity, clone_transition, clone_pairwise, clone_size_whole, clone_matrix_whole, auroc,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
 
@@ -265,3 +278,4 @@ h AS (SELECT var_id, round(mean, 6) AS mean, round(disp, 6) AS disp, bin, round(
 """
 ORACLE["hvg_binned"] = _HVG + "SELECT * FROM h"
 ORACLE["hvg_top_n"] = _HVG + "SELECT var_id, disp_norm FROM h ORDER BY disp_norm DESC, var_id LIMIT 20"
+ORACLE |= {f"{n}_whole": ORACLE[n].replace("o_custkey % 50", "o_custkey") for n in ("clone_size", "clone_matrix")}

@@ -103,6 +103,22 @@ def test_components_of_long_paths(spark):
         H.connected_components(edges, nodes, 1)
 
 
+def test_graph_queries_over_whole_keys(spark, tmp_path):
+    """Customers 1 and 41 are different nodes, and no customer is a supplier's node."""
+    from sparmat.plans import q_graph as Q
+
+    put = lambda n, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{n}.parquet"))
+    put("orders", [(1, 1), (2, 41), (3, 3)], "o_orderkey bigint, o_custkey bigint")
+    put("lineitem", [(1, 1, "R"), (2, 61, "A"), (3, 3, "R"), (3, 1, "A"), (3, 61, "N")], "l_orderkey bigint, l_suppkey bigint, l_returnflag string")
+    put("customer", [(i, float(i)) for i in (1, 3, 41)], "c_custkey bigint, c_acctbal double")
+    put("supplier", [(i, 10.0 * i) for i in (1, 3, 61)], "s_suppkey bigint, s_acctbal double")
+    d = str(tmp_path)
+    assert {tuple(r) for r in Q.edges_weighted_whole(spark, d).collect()} == {(2, 3, 0.5), (82, 123, 0.25), (6, 7, 0.5), (6, 3, 0.25)}
+    assert {tuple(r) for r in Q.neighbour_hops_whole(spark, d).collect()} == {(i, i) for i in (2, 6, 82, 3, 7, 123)} | {(2, 3), (82, 123), (6, 7), (6, 3)}
+    assert {r.node for r in Q.label_propagation_whole(spark, d).collect()} == {2, 6, 82, 3, 7, 123}
+    assert {r.node: r.value for r in Q.graph_moments_whole(spark, d).collect()}[82] == 0.8 * 41 + 0.2 * 610
+
+
 def test_models(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, size=(60, 4)) for c in (0, 3, 9)])
