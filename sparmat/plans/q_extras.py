@@ -85,6 +85,11 @@ def constant_variables(s, d):
     return X.constant_variables(Matrix(some, m.obs, m.var))
 
 
+def constant_variables_whole(s, d):
+    """Over all entries; constant_variables leaves out a third of the variables' data, as its SQL does."""
+    return X.constant_variables(orders_matrix(s, d))
+
+
 def ambient_profile(s, d):
     return _r(X.ambient_profile(orders_matrix(s, d), 0, 100), "share", n=9)
 
@@ -107,7 +112,7 @@ def column_correlations(s, d):
 
 
 FUNCS = (
-    metacell_means, cnv_smoothing, cnv_reference_difference, cnv_score, footprint, describe, sankey_flows, clone_ids, position_bits, layer_shares, top_mask, scaled_mad, constant_variables,
+    metacell_means, cnv_smoothing, cnv_reference_difference, cnv_score, footprint, describe, sankey_flows, clone_ids, position_bits, layer_shares, top_mask, scaled_mad, constant_variables, constant_variables_whole,
     ambient_profile, potency_bins, rasterize, marker_filter, column_correlations,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
@@ -140,6 +145,8 @@ SELECT position, letter, round(share, 6) AS share, round(share * (2 + sum(share
 SELECT o_orderkey, round(CASE WHEN b > a THEN (o_totalprice - a) / (b - a) ELSE 0 END, 6) AS scaled, o_totalprice >= q AS top FROM q""",
     "scaled_mad": "WITH a AS (SELECT *, median(o_totalprice) OVER (PARTITION BY o_orderpriority) AS m FROM orders) SELECT o_orderpriority, round(median(abs(o_totalprice - m)) / 0.6744897501960817, 3) AS mad FROM a GROUP BY 1",
     "constant_variables": """WITH m AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS v FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1, 2), s AS (SELECT l_partkey, min(v) AS a, max(v) AS b, count(*) AS k FROM m GROUP BY 1)
+SELECT p_partkey AS var_id FROM part LEFT JOIN s ON l_partkey = p_partkey WHERE k IS NULL OR (a = b AND (k = (SELECT count(*) FROM orders) OR a = 0))""",
+    "constant_variables_whole": """WITH m AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT l_partkey, min(v) AS a, max(v) AS b, count(*) AS k FROM m GROUP BY 1)
 SELECT p_partkey AS var_id FROM part LEFT JOIN s ON l_partkey = p_partkey WHERE k IS NULL OR (a = b AND (k = (SELECT count(*) FROM orders) OR a = 0))""",
     "ambient_profile": M + ", t AS (SELECT obs_id FROM m GROUP BY 1 HAVING sum(v) > 0 AND sum(v) < 100) SELECT var_id, round(sum(v) / sum(sum(v)) OVER (), 9) AS share FROM m WHERE obs_id IN (SELECT obs_id FROM t) GROUP BY 1",
     "potency_bins": "SELECT l_orderkey, l_linenumber, least(4, " + " + ".join(f"CASE WHEN l_discount >= {e} THEN 1 ELSE 0 END" for e in (0.02, 0.04, 0.06, 0.08, 0.11)) + ") AS bin FROM lineitem",

@@ -65,3 +65,16 @@ def test_quantile_bins_and_masks(spark):
     assert [r.bin for r in X.quantile_bins(df.where("g = 'g'"), "v", [0.0, 0.2, 0.6, 1.0]).orderBy("v").collect()] == [0, 0, 1, 2, 2]
     m = {(r.g, r.v): r for r in X.top_mask(df, "g", "v", 0.25).collect()}
     assert m["h", 3.0].scaled == 0.0 and m["h", 3.0].top and m["g", 1.0].top and not m["g", 0.5].top
+
+
+def test_constant_variables_over_all_entries(spark):
+    from sparmat.model import Matrix
+    from sparmat.plans import q_extras as Q
+
+    e = spark.createDataFrame([(1, 3, 1.0), (2, 3, 2.0), (1, 4, 5.0), (2, 4, 5.0), (1, 6, 5.0), (1, 7, 0.0)], "obs_id int, var_id int, value double")
+    m = Matrix(e, spark.createDataFrame([(1,), (2,)], "obs_id int"), spark.createDataFrame([(v,) for v in (3, 4, 6, 7, 9)], "var_id int"))
+    orders, Q.orders_matrix = Q.orders_matrix, lambda s, d: m
+    try:
+        assert sorted(r.var_id for r in Q.constant_variables_whole(spark, "").collect()) == [4, 7, 9]
+    finally:
+        Q.orders_matrix = orders
