@@ -177,6 +177,18 @@ def reproducible(peaks: DataFrame, replicates: Sequence[DataFrame], blacklist: D
     return out
 
 
+def sets_overlapped(peaks: DataFrame, ident: str, by: str) -> DataFrame:
+    """(ident, sets, every): for each peak the number of other sets (``by``) with a peak overlapping it, and whether that is all of them.
+
+    One overlap join of all peaks with themselves; ``peaks``: ident, by, chr, start, end, ``by`` not null.
+    """
+    other = peaks.select(F.col(by).alias("_by"), F.col("chr").alias("r_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    n = overlap_join(peaks, other, "chr", "start", "end", "r_chrom", "r_start", "r_end").where(F.col(by) != F.col("_by")).groupBy(ident).agg(F.countDistinct("_by").alias("sets"))
+    out = peaks.select(ident).join(n, ident, "left").select(ident, F.coalesce("sets", F.lit(0)).alias("sets"))
+    rest = peaks.agg((F.countDistinct(by) - 1).alias("n")).scalar()
+    return out.withColumn("every", F.col("sets") == rest)
+
+
 # --- tracks -------------------------------------------------------------------------------------------
 def running_sums(df: DataFrame, key: str, pos: str, values: Sequence[str], block: int = 1 << 20) -> DataFrame:
     """Running sums of ``values`` by position, and the next position ``_next``, per key.

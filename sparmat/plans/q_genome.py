@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparmat.functions.text import barcode_code, barcode_text, chrom_label
 from sparmat.operators import genome as G
 from sparmat.plans.core_problems import _placed_peaks
-from sparmat.session import table
+from sparmat.session import scratch_table, table
 
 
 def _frags(s, d):
@@ -116,6 +116,11 @@ def reproducible_peaks(s, d):
     return G.reproducible(of(3), [p.where(n % 2 == 0), p.where((n % 2 == 1) & (n != 3))], of(5).where("end - start < 500"), "pid").select("pid")
 
 
+def reproducible_peaks_whole(s, d):
+    """The peaks of all call sets, each against every other call set as a replicate; reproducible_peaks has one call set, as its SQL does."""
+    return G.sets_overlapped(scratch_table(_peaks(s, d).where("call_set IS NOT NULL"), "peaks"), "pid", "call_set")
+
+
 def coverage(s, d):
     return G.coverage(_frags(s, d), "chrom", 1000, table(s, d, "chrom_sizes"))
 
@@ -189,7 +194,7 @@ def region_gene_links(s, d):
 
 FUNCS = (
     genome_offset, genome_locus, tile_insertion, tile_fragment, tile_paired, peak_matrix, peak_matrix_insertion, peak_matrix_paired, gene_activity, frip, fragment_qc, size_histogram,
-    chrom_summary, tss_profile, tss_enrichment, nearest_tss, priority_overlay, union_length, reproducible_peaks, coverage, coverage_bpm, coverage_cpm, coverage_smooth, threshold_peaks,
+    chrom_summary, tss_profile, tss_enrichment, nearest_tss, priority_overlay, union_length, reproducible_peaks, reproducible_peaks_whole, coverage, coverage_bpm, coverage_cpm, coverage_smooth, threshold_peaks,
     merge_peaks, base_ratio, contacts, unique_reads, flag_counts, sequence_ops, motif_scan, region_gene_links,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
@@ -251,6 +256,9 @@ SELECT chr, CAST(sum(greatest(0, e - greatest(s, coalesce(p, s)))) AS BIGINT) AS
     + """SELECT pid FROM pk a WHERE call_set = 'cs000003' AND EXISTS (SELECT 1 FROM pk b WHERE CAST(b.call_set[3:] AS INT) % 2 = 0 AND a.chr = b.chr AND a.s < b.e AND b.s < a.e)
  AND EXISTS (SELECT 1 FROM pk b WHERE CAST(b.call_set[3:] AS INT) % 2 = 1 AND b.call_set <> 'cs000003' AND a.chr = b.chr AND a.s < b.e AND b.s < a.e)
  AND NOT EXISTS (SELECT 1 FROM pk b WHERE b.call_set = 'cs000005' AND b.e - b.s < 500 AND a.chr = b.chr AND a.s < b.e AND b.s < a.e)""",
+    "reproducible_peaks_whole": B
+    + """, n AS (SELECT a.pid, count(DISTINCT b.call_set) AS n FROM pk a JOIN pk b ON a.call_set <> b.call_set AND a.chr = b.chr AND a.s < b.e AND b.s < a.e GROUP BY 1)
+SELECT pid, coalesce(n, 0) AS sets, coalesce(n, 0) = (SELECT count(DISTINCT call_set) - 1 FROM pk) AS every FROM pk LEFT JOIN n USING (pid) WHERE call_set IS NOT NULL""",
     "coverage": _COV + "SELECT * FROM cv",
     "coverage_bpm": _COV + 'SELECT chrom, start, "end", round(value / ((SELECT sum(("end" - start) * value) FROM cv) / 1e6), 9) AS value FROM cv',
     "coverage_cpm": _COV + 'SELECT chrom, start, "end", round(value / (sum(value) OVER (PARTITION BY chrom) / 1e6), 9) AS value FROM cv',

@@ -78,3 +78,9 @@ def test_strands_and_ratio(spark):
 def test_gc_of_nothing(spark):
     df = spark.createDataFrame([("",), ("NNN",), ("GCNA",), (None,)], "s string").select(G.gc_content(F.col("s")).alias("g"))
     assert [r.g for r in df.collect()][:2] == [0.5, 0.5] and abs(df.collect()[2].g - 2 / 3) < 1e-12
+
+
+def test_sets_overlapped(spark):
+    rows = [("a1", "a", "c", 0, 10), ("a2", "a", "c", 5, 30), ("b1", "b", "c", 9, 12), ("b2", "b", "c", 50, 60), ("d1", "d", "c", 29, 51), ("d2", "d", "e", 0, 10)]
+    got = G.sets_overlapped(spark.createDataFrame(rows, "pid string, call_set string, chr string, start int, end int"), "pid", "call_set")
+    assert {r.pid: (r.sets, r.every) for r in got.collect()} == {"a1": (1, False), "a2": (2, True), "b1": (1, False), "b2": (1, False), "d1": (2, True), "d2": (0, False)}
