@@ -152,6 +152,7 @@ class GeneMatcher:
         self.names = {number: Dictionary.build(rows, 2) for number, rows in names.items()}
         self.shortest = min((len(s) for d in self.names.values() for s in d.owners), default=1)
         self.longest = max((len(s) for d in self.names.values() for s in d.owners), default=1)
+        self.most_digits = max(map(len, self.names), default=0)
         self.memo: dict = {}
 
     def _by_id(self, text: str) -> tuple[float, int, str] | None:
@@ -162,11 +163,14 @@ class GeneMatcher:
         parts = re.findall(r"[^\W_]+", self.id_pattern.sub(" ; ", text.replace("_", " ")))
         best = None
         for i in range(len(parts)):  # a value may stand alone, among additions, or be cut by separators
-            for j in range(i + 1, min(len(parts), i + 3) + 1):
-                value = "".join(parts[i:j])
+            value = ""
+            for part in parts[i:]:
+                value += part
+                stem, number = stem_and_number(value)
+                if len(stem) > self.longest + 2 or (len(value) > self.longest + 2 and len(number) > self.most_digits):
+                    break  # further parts only make it longer
                 if value in EMPTY:
                     continue
-                stem, number = stem_and_number(value)
                 if number in self.names and self.shortest - 2 <= len(stem) <= self.longest + 2:
                     hit = self.names[number].nearest(stem)
                     if hit and (best is None or hit < best):

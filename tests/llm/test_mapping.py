@@ -99,3 +99,9 @@ def test_join_for_long_lists(spark):
         assert (r.entry is None) == (want is None)
         if want:
             assert (r.weighted, r.entry) == (want[0], want[2])
+
+
+def test_names_cut_into_many_parts():
+    m = GeneMatcher(GENES)
+    for typed, uid in (("L-i-v-y-h-u-l-a-d", "u1"), ("k r o r i p e j a r t 7", "u2"), ("Kro-rip-ej-art_1", "u3"), ("see S.o.d.u.t.e.j.y.d 7 (old)", "u4"), ("K-r-o-r-i-p-e-j-a-r-t-5", "none"), ("1 2 " * 500, "none")):
+        assert m.match(typed, None) == uid, typed
