@@ -389,12 +389,16 @@ def negative_binomial_fit(counts: DataFrame, steps: int = 30) -> DataFrame:
 def simulate_doublets(entries: DataFrame, obs: DataFrame, ratio: int, seed: int = 3) -> DataFrame:
     """(doublet, var_id, value): sums of two observations paired by hashes of (observation, copy); ``ratio`` per observation.
 
-    The partner is the next observation in the order of a hash within a bucket, so no global sort is needed.
+    The partner is the next observation in the order of a hash within a bucket of about 1,000, after the last the first, so no
+    global sort is needed. A doublet's name is its two observations and the copy: two copies may pair them alike.
     """
     o = obs.select("obs_id", F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("copy"))
     o = o.withColumn("_h", F.xxhash64("obs_id", "copy", F.lit(seed)))
-    w = Window.partitionBy("copy", F.pmod(F.col("_h"), F.lit(1024))).orderBy("_h", "obs_id")
-    p = o.withColumn("partner", F.lead("obs_id").over(w)).where("partner IS NOT NULL").select(F.concat_ws("+", F.col("obs_id").cast("string"), F.col("partner").cast("string")).alias("doublet"), F.array("obs_id", "partner").alias("_m"))
+    buckets = F.greatest(F.lit(1), F.floor(obs.agg(F.count(F.lit(1)).alias("n")).scalar() / 1000))
+    w = Window.partitionBy("copy", "_b").orderBy("_h", "obs_id")
+    p = o.withColumn("_b", F.pmod(F.col("_h"), buckets)).withColumn("partner", F.coalesce(F.lead("obs_id").over(w), F.first("obs_id").over(w))).where("partner <> obs_id")
+    name = F.concat(F.concat_ws("+", F.col("obs_id").cast("string"), F.col("partner").cast("string")), F.lit("#"), F.col("copy").cast("string"))
+    p = p.select(name.alias("doublet"), F.array("obs_id", "partner").alias("_m"))
     m = p.select("doublet", F.explode("_m").alias("obs_id"))
     return m.join(entries, "obs_id").groupBy("doublet", "var_id").agg(F.sum("value").alias("value"))
 

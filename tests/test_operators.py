@@ -119,6 +119,16 @@ def test_graph_queries_over_whole_keys(spark, tmp_path):
     assert {r.node: r.value for r in Q.graph_moments_whole(spark, d).collect()}[82] == 0.8 * 41 + 0.2 * 610
 
 
+def test_doublets_of_every_observation(spark):
+    obs = spark.range(2500).select(F.col("id").alias("obs_id"))
+    got = H.simulate_doublets(obs.select("obs_id", F.lit(0).alias("var_id"), F.lit(1.0).alias("value")), obs, 2).collect()
+    assert len(got) == 5000 and {r.value for r in got} == {2.0}
+    first = [tuple(r.doublet.split("#")[0].split("+")) + (r.doublet[-1],) for r in got]
+    assert all(len({(x[i], x[2]) for x in first}) == 5000 for i in (0, 1)) and not any(a == b for a, b, _ in first)
+    few = H.simulate_doublets(obs.select("obs_id", F.lit(0).alias("var_id"), F.lit(1.0).alias("value")), obs.where("obs_id < 2"), 2).collect()
+    assert len(few) == 4 and {r.value for r in few} == {2.0}
+
+
 def test_models(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, size=(60, 4)) for c in (0, 3, 9)])
