@@ -14,11 +14,13 @@ import base64
 import math
 import os
 import random
+import re
 from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,25 +43,48 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+#: White space as the splitting pattern understands it (fixed value).
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_SAFE_END = re.compile(r"\w(?=[ \n])")
+
+
+def token_count(enc, text: str, piece: int = 200_000) -> int:
+    """Tokens of ``text``, exactly as many as when it is encoded in one go; the encoder sees about ``piece`` characters at a time.
+
+    The splitting pattern never joins a letter or digit to the white space behind it, so a text may be cut there. White
+    space before a word forms a part of its own but for its last character: runs as long as ``piece`` (the pattern's
+    search overflows on them) are encoded as that part directly.
+    """
+    if len(text) <= piece:
+        return len(enc.encode_ordinary(text))
+    run = re.compile(_SPACE + "{%d,}" % max(2, piece))
+    total = at = 0
+    while at < len(text):
+        m = _SAFE_END.search(text, at + piece // 2) if len(text) - at > piece else None
+        end = m.end() if m else len(text)
+        part, at = text[at:end], end
+        while part:
+            r = run.search(part)
+            if r is None:
+                total += len(enc.encode_ordinary(part))
+                break
+            stop = r.end() if r.end() == len(part) else r.end() - 1
+            total += len(enc.encode_ordinary(part[: r.start()])) + len(enc._encode_single_piece(part[r.start() : stop]))
+            part = part[stop:]
+    return total
+
+
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """(keep, tokens): tokens of the whole text; 0 for null and empty texts. Long texts are encoded in pieces cut at
-    line ends or, failing these, after at least 100,000 characters at a space, so the encoder's memory stays bounded."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    """(keep, tokens): tokens of the whole text; 0 for null and empty texts.
 
-    def pieces(t: str) -> Iterator[str]:
-        at = 0
-        while len(t) - at > 200_000:
-            cut = t.find("\n", at + 100_000, at + 200_000)
-            cut = cut if cut >= 0 else t.find(" ", at + 100_000, at + 200_000)
-            cut = cut if cut >= 0 else at + 200_000
-            yield t[at:cut]
-            at = cut
-        yield t[at:]
+    ``path`` names the vocabulary on every machine, or is the name of a file given to ``SparkContext.addFile``.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         for b in batches:
-            n = [sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in b.column("_text").to_pylist()]
+            n = [token_count(enc, t) if t else 0 for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
     schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["tokens bigint"])
@@ -187,12 +212,15 @@ def sample(sized: DataFrame, planned: DataFrame, ident: str = "doc_id", block_ro
 
 
 def report(drawn: DataFrame, planned: DataFrame) -> DataFrame:
-    """Per source: documents used, largest repeat, tokens drawn, actual share, wanted tokens and share, short."""
+    """Per source: documents used, largest repeat, tokens drawn, actual share (null when nothing was drawn), wanted tokens
+    and share, short: every document was used as often as it may be and the wanted tokens were not reached."""
     got = drawn.groupBy("source").agg(
         F.count(F.when(F.col("repeats") > 0, 1)).alias("docs_used"), F.max("repeats").alias("most_repeats"), F.sum(F.col("repeats") * F.col("tokens")).alias("tokens_drawn")
     )
     t = planned.join(got, "source", "left").fillna(0, ["docs_used", "most_repeats", "tokens_drawn"])
     whole = got.agg(F.sum("tokens_drawn").alias("n")).scalar()
+    # all documents at their cap and still not enough
+    short = (F.col("tokens_drawn") >= F.col("max_repeat") * F.col("available")) & (F.col("tokens_drawn") < F.col("wanted"))
     return t.select(
-        "source", "target_share", (F.col("tokens_drawn") / whole).alias("actual_share"), "max_repeat", "most_repeats", "docs", "docs_used", "available", "wanted", "tokens_drawn", "short"
+        "source", "target_share", F.try_divide("tokens_drawn", whole).alias("actual_share"), "max_repeat", "most_repeats", "docs", "docs_used", "available", "wanted", "tokens_drawn", short.alias("short")
     )

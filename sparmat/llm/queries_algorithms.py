@@ -29,15 +29,23 @@ def _current_obs(spark: SparkSession, d: str) -> DataFrame:
     return scratch_table(rows.select("obs_id", "sample", "day", "n_umi"), "obs-current")
 
 
-def _day_sketches(obs: DataFrame) -> DataFrame:
-    return sketch(obs, ["sample", "day"], "n_umi")
+#: Section size of the sketches behind an exact search: their brackets hold a few percent of the rows.
+FINE = 128
+
+
+def _day_sketches(obs: DataFrame, k: int = 32) -> DataFrame:
+    return sketch(obs, ["sample", "day"], "n_umi", k)
+
+
+def _exact(obs: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
+    brackets = scratch_table(sketch_percentiles(merge_sketches(_day_sketches(obs, FINE), ["sample"], FINE), ["sample"], fractions, FINE), "percentile-brackets")
+    # one row per sample of metadata (fixed, 27 rows) and fraction: a proven bound for the broadcast
+    return exact_percentiles(obs.select("sample", "n_umi"), ["sample"], "n_umi", F.broadcast(brackets))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     obs = _current_obs(spark, d)
-    brackets = sketch_percentiles(merge_sketches(_day_sketches(obs), ["sample"]), ["sample"], (0.1, 0.9), margin=0.1)
-    # one row per sample of metadata (fixed, 27 rows) and fraction: a proven bound for the broadcasts
-    exact = exact_percentiles(obs.select("sample", "n_umi"), ["sample"], "n_umi", F.broadcast(brackets))
+    exact = _exact(obs, (0.1, 0.9))
     limits = exact.groupBy("sample").agg(
         F.max(F.when(F.col("fraction") == 0.1, F.col("percentile"))).alias("p10"), F.max(F.when(F.col("fraction") == 0.9, F.col("percentile"))).alias("p90")
     )
@@ -45,17 +53,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_sample_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate percentiles per sample, merged from the sketches of its run days."""
+    """Approximate percentiles per sample, merged from the sketches of its run days; no rank is off by more than ``rank_error``."""
     merged = merge_sketches(_day_sketches(_current_obs(spark, d)), ["sample"])
-    return sketch_percentiles(merged, ["sample"], FRACTIONS).select("sample", "n", "fraction", "percentile")
+    return sketch_percentiles(merged, ["sample"], FRACTIONS).select("sample", "n", "fraction", "percentile", F.col("error").alias("rank_error"))
 
 
 def p5_sample_percentiles_exact(spark: SparkSession, d: str) -> DataFrame:
-    obs = _current_obs(spark, d)
-    brackets = sketch_percentiles(merge_sketches(_day_sketches(obs), ["sample"]), ["sample"], FRACTIONS, margin=0.1)
-    return exact_percentiles(obs.select("sample", "n_umi"), ["sample"], "n_umi", F.broadcast(brackets)).select(
-        "sample", "n", "fraction", F.col("percentile").cast("bigint").alias("percentile")
-    )
+    return _exact(_current_obs(spark, d), FRACTIONS).select("sample", "n", "fraction", F.col("percentile").cast("bigint").alias("percentile"))
 
 
 DIM = 32

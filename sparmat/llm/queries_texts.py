@@ -36,16 +36,15 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return mixing.count_tokens(docs.join(F.broadcast(known), "key", "left_semi"), ["doc_id", "key"])  # mix_targets: fixed, 13 rows
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    # one row a source, written: the plan reads it twice, the texts are encoded once
-    sized = scratch_table(_sized(spark, d).groupBy("key").agg(F.sum("tokens").alias("tokens")), "source-tokens")
-    return mixing.plan(sized, table(spark, d, "mix_targets")).where("short").select("source")
-
-
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = scratch_table(_sized(spark, d), "token-counts")
     planned = scratch_table(mixing.plan(sized, table(spark, d, "mix_targets")), "mix-plan")
-    return mixing.sample(sized, planned), planned
+    return scratch_table(mixing.sample(sized, planned), "mix-drawn"), planned
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that fall short in the mix that was drawn."""
+    return mixing.report(*_mixed(spark, d)).where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -53,13 +52,15 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    drawn, planned = _mixed(spark, d)
-    return mixing.report(scratch_table(drawn, "mix-drawn"), planned)
+    return mixing.report(*_mixed(spark, d))
+
+
+def _profiles(spark: SparkSession, d: str) -> quality.Profiles:
+    return quality.learn_profiles(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
 def _structure(spark: SparkSession, d: str) -> DataFrame:
-    profiles = quality.learn_profiles(table(spark, d, "eval_items"), table(spark, d, "common_words"))
-    return quality.structure(table(spark, d, "documents"), profiles, ["doc_id"])
+    return quality.structure(table(spark, d, "documents"), _profiles(spark, d), ["doc_id"])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,13 +72,19 @@ def p9_profiles(spark: SparkSession, d: str) -> DataFrame:
     return _structure(spark, d).select("doc_id", F.round("prose_share", 6).alias("prose_share"), "profile", F.round("divergence", 6).alias("divergence"))
 
 
+def p9_learned_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The profiles the documents are compared with: share of function words and of the character classes."""
+    kind = "profile string, " + ", ".join(f"{c} double" for c in ("function_words", *quality.CLASSES))
+    return spark.createDataFrame(quality.profile_rows(_profiles(spark, d)), kind)
+
+
 def p9_text_stats(spark: SparkSession, d: str) -> DataFrame:
     words = [r.word for r in table(spark, d, "common_words").select("word").collect()]  # fixed table of 139 rows
     cols = quality.basic_stats(F.col("text"), words)
     return table(spark, d, "documents").select("doc_id", *[(F.round(c, 6) if n != "word_count" else c).alias(n) for n, c in cols.items()])
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_cleaned, p7_items, p8_found, p8_mix, p8_report, p9_found, p9_profiles, p9_text_stats)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_cleaned, p7_items, p8_found, p8_mix, p8_report, p9_found, p9_profiles, p9_learned_profiles, p9_text_stats)}
 
 ORACLE = {
     "p9_text_stats": r"""

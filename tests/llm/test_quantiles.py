@@ -51,7 +51,7 @@ def test_groups_over_days(spark):
     df = spark.createDataFrame(data, "sample string, day int, v double, high string").repartition(5)
     days = sketch(df, ["sample", "day"], "v")
     merged = merge_sketches(days, ["sample"])
-    br = sketch_percentiles(merged, ["sample"], [0.1, 0.5, 0.9, 0.99], margin=0.1)
+    br = sketch_percentiles(merged, ["sample"], [0.1, 0.5, 0.9, 0.99])
     approx = {(r["sample"], r.fraction): r for r in br.collect()}
     got = {(r["sample"], r.fraction): r for r in exact_percentiles(df, ["sample"], "v", br).collect()}
     for k in {r[0] for r in data}:
@@ -63,10 +63,30 @@ def test_groups_over_days(spark):
             assert low - 0.1 * len(v) <= q * len(v) <= rank + 0.1 * len(v)
 
 
-def test_wrong_bracket_costs_nothing_but_time(spark):
+def test_bracket_of_other_rows_is_an_error(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(100)], "k string, v double")
-    b = spark.createDataFrame([("a", 0.5, 90.0, 95.0)], "k string, fraction double, low double, high_value double")
-    assert exact_percentiles(df, ["k"], "v", b).collect()[0].percentile == 49.0
+    good = spark.createDataFrame([("a", 0.5, 40.0, 60.0)], "k string, fraction double, low double, high_value double")
+    assert exact_percentiles(df, ["k"], "v", good).collect()[0].percentile == 49.0
+    with pytest.raises(Exception, match="bracket without its percentile"):
+        exact_percentiles(df, ["k"], "v", good.selectExpr("k", "fraction", "90D AS low", "95D AS high_value")).collect()
+
+
+@pytest.mark.parametrize("high", [True, False])
+def test_brackets_hold_the_percentile_and_leave_most_rows_out(high):
+    rng = np.random.default_rng(2)
+    for v in (rng.lognormal(8, 2, 60_000), rng.integers(0, 50, 30_000).astype(float), np.sort(rng.normal(size=20_000)), np.ones(9000)):
+        whole = RankSketch(high, 128)
+        for p in np.array_split(v, 7):
+            s = RankSketch(high, 128)
+            s.update(p)
+            whole.merge(s)
+        order = np.sort(v)
+        for q in (0.001, 0.1, 0.5, 0.9, 0.999):
+            rank = max(1, math.ceil(round(q * len(v), 9)))
+            lo, hi = whole.bracket(rank)
+            assert lo <= order[rank - 1] <= hi
+            if len(np.unique(v)) == len(v):
+                assert ((v >= lo) & (v <= hi)).mean() < 0.15
 
 
 def test_empty(spark):
