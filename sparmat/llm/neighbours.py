@@ -1,12 +1,12 @@
 """Most similar vectors through a hierarchical k-means tree.
 
 The tree is fitted by recursive two-means on a bounded, documented sample; every row is then indexed in
-its leaf. A split is the plane between the two means, with its normal made orthogonal to the normals
-above it, so that the squared distances from a query to the planes on the way to a bin add up to a lower
-bound of the distance to that bin. Queries visit bins best first through a priority queue ordered by
-this bound. A search for the k nearest widens the number of visits until the recall of a calibration set
-(held against all rows) reaches its target; a search for all rows within a radius visits every bin
-whose bound is within it, which finds all of them.
+its leaf, and a leaf that holds many more rows than planned gets a subtree fitted on its own rows, so bins stay small
+however large the table. A split is the plane between the two means; the distance of a query from a plane bounds
+its distance to everything behind it. Queries visit bins best first through a priority queue ordered by
+the largest such bound on the way. A search for the k nearest widens the number of visits until the recall of a
+calibration set (held against all rows) reaches its target, and reports the recall of a second, held-out set; a search
+for all rows within a radius visits every bin whose bound is within it, which finds all of them.
 """
 
 from __future__ import annotations
@@ -37,12 +37,10 @@ class Tree:
     @classmethod
     def fit(cls, x: np.ndarray, leaf_rows: int) -> Tree:
         normals, offsets, kids, leaves = [], [], [], 0
-        stack = [(np.arange(len(x)), np.zeros((0, x.shape[1])), -1, 0)]
+        stack = [(np.arange(len(x)), -1, 0)]
         while stack:
-            idx, above, parent, slot = stack.pop()
-            node = None
-            if len(idx) > leaf_rows and len(above) < x.shape[1] - 1:
-                node = cls._split(x[idx], above)
+            idx, parent, slot = stack.pop()
+            node = cls._split(x[idx]) if len(idx) > leaf_rows else None
             if node is None:
                 code, leaves = -(leaves + 1), leaves + 1
             else:
@@ -51,22 +49,21 @@ class Tree:
                 normals.append(normal)
                 offsets.append(cut)
                 kids.append([0, 0])
-                path = np.vstack([above, normal])
-                stack += [(idx[left], path, code, 0), (idx[~left], path, code, 1)]
+                stack += [(idx[left], code, 0), (idx[~left], code, 1)]
             if parent >= 0:
                 kids[parent][slot] = code
         dim = x.shape[1]
         return cls(np.array(normals).reshape(-1, dim), np.array(offsets), np.array(kids, dtype=np.int64).reshape(-1, 2), max(1, leaves))
 
     @staticmethod
-    def _split(x: np.ndarray, above: np.ndarray):
+    def _split(x: np.ndarray):
+        """Two-means from the main axis: (normal, offset, rows on the first side); None for copies of one vector."""
         d = x - x.mean(axis=0)
-        d = d - (d @ above.T) @ above
         w, v = np.linalg.eigh(d.T @ d)
         if w[-1] <= 1e-9 * len(x):
             return None
         side = d @ v[:, -1] > 0
-        for _ in range(8):  # two-means in the space orthogonal to the planes above
+        for _ in range(8):
             if side.all() or not side.any():
                 return None
             a, b = d[side].mean(axis=0), d[~side].mean(axis=0)
@@ -74,18 +71,16 @@ class Tree:
             if (again == side).all():
                 break
             side = again
-        normal = a - b
-        normal -= above.T @ (above @ normal)
-        length = np.linalg.norm(normal)
-        if length < 1e-9:
+        if side.all() or not side.any():
             return None
-        normal /= length
-        p = x @ normal
-        cut = (p[side].mean() + p[~side].mean()) / 2 if side.any() and not side.all() else np.median(p)
-        left = p > cut
-        if left.all() or not left.any():
+        a, b = x[side].mean(axis=0), x[~side].mean(axis=0)
+        length = np.linalg.norm(a - b)
+        if length < 1e-9:
             return None
-        return normal, float(cut), left
+        normal = (a - b) / length
+        cut = float(normal @ (a + b) / 2)
+        left = x @ normal > cut
+        return None if left.all() or not left.any() else (normal, cut, left)
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), dtype=np.int64)
@@ -93,7 +88,7 @@ class Tree:
         while stack:
             node, idx = stack.pop()
             left = x[idx] @ self.normals[node] > self.offsets[node]
-            for kid, part in zip(self.kids[node], (idx[left], idx[~left])):
+            for kid, part in zip(self.kids[node].tolist(), (idx[left], idx[~left])):
                 if kid < 0:
                     out[part] = -kid - 1
                 elif len(part):
@@ -105,7 +100,7 @@ class Tree:
         if not len(self.normals):
             yield from ([0] for _ in range(len(x)))
             return
-        kids, limit = self.kids.tolist(), reach * reach
+        kids = self.kids.tolist()
         for i in range(0, len(x), 2048):
             for margins in (x[i : i + 2048] @ self.normals.T - self.offsets).tolist():
                 heap, out = [(0.0, 0)], []
@@ -114,80 +109,170 @@ class Tree:
                     while node >= 0:
                         m = margins[node]
                         near, far = kids[node] if m > 0 else kids[node][::-1]
-                        other = bound + m * m
-                        if other <= limit:
+                        other = max(bound, abs(m))
+                        if other <= reach:
                             heapq.heappush(heap, (other, far))
                         node = near
                     out.append(-node - 1)
                 yield out
 
+    def row(self) -> tuple[list, list, list, int]:
+        return self.normals.ravel().tolist(), self.offsets.tolist(), self.kids.ravel().tolist(), self.leaves
+
+    @classmethod
+    def of_row(cls, normals: list, offsets: list, kids: list, leaves: int) -> Tree:
+        n = np.array(normals, dtype=np.float64).reshape(len(offsets), -1)
+        return cls(n, np.array(offsets, dtype=np.float64), np.array(kids, dtype=np.int64).reshape(-1, 2), leaves)
+
+
+def _share(rows: Column | float, wanted: float) -> Column:
+    """Condition that keeps about ``wanted`` of ``rows`` rows: a hash of the vector decides, the same on a repeated run."""
+    return F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) < F.ceil(F.lit(1_000_003.0) * F.least(F.lit(1.0), F.lit(float(wanted)) / rows))
 
-def fit_tree(points: DataFrame, dim: int, sample_rows: int = 50_000, leaf_rows: int = 3000, most_leaves: int = 20_000) -> Tree:
-    """Tree fitted on a sample of at most about ``sample_rows`` rows (rows of the smallest hash of the vector).
 
-    Bins hold about ``leaf_rows`` rows of the whole table (no fewer than 16 of the sample); at most
-    ``most_leaves``, so the tree that the tasks get is at most most_leaves x dim x 8 bytes.
+def fit_tree(points: DataFrame, dim: int, sample_rows: int = 50_000, leaf_rows: int = 3000) -> Tree:
+    """First-level tree, fitted on a sample of at most about ``sample_rows`` rows (rows of the smallest hash of the vector).
+
+    Bins hold about ``leaf_rows`` rows of the whole table, but no fewer than 16 of the sample: at most about sample_rows / 16 bins,
+    so the broadcast tree is bounded; ``subtrees`` divide what is still crowded.
     """
     total = points.count()
-    share = min(1.0, sample_rows / max(1, total))
-    # a hash decides, not the order of rows: the same tree for a repeated run
-    sample = points.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) < int(1_000_003 * share) + (share == 1.0) * 2).select("vec").limit(2 * sample_rows).toArrow()
+    sample = points.where(_share(F.lit(float(max(1, total))), sample_rows)).select("vec").limit(2 * sample_rows).toArrow()
     x = matrix(sample.column("vec"), dim) if sample.num_rows else np.zeros((0, dim))
-    per_leaf = max(16.0 if share < 1 else 1.0, leaf_rows * share, len(x) / most_leaves)
-    return Tree.fit(x, int(per_leaf))
+    share = min(1.0, sample_rows / max(1, total))
+    return Tree.fit(x, int(max(16.0 if share < 1 else 1.0, leaf_rows * share)))
+
+
+@dataclass
+class Index:
+    """rows: (id, vec, leaf, sub, blocks, block); tree: broadcast first level; subs: (leaf, n, normals, offsets, kids, leaves) of the
+    crowded leaves, or None; chunk: rows or queries that meet a subtree in one task."""
+
+    rows: DataFrame
+    tree: object
+    subs: DataFrame | None
+    dim: int
+    chunk: int = 20_000
+
+
+_SUB = "leaf bigint, n bigint, normals array<double>, offsets array<double>, kids array<bigint>, leaves bigint"
 
 
-def index(points: DataFrame, tree: Tree, dim: int, block_rows: int = 6000) -> DataFrame:
-    """Every row of ``points`` (id, vec) with its bin: (id, vec, leaf, block), written once to the shared folder.
+def _subtrees(rows: DataFrame, dim: int, leaf_rows: int, crowd_rows: int, sample_rows: int) -> DataFrame | None:
+    """A tree for every leaf of more than ``crowd_rows`` rows, fitted on at most about ``sample_rows`` rows of the leaf."""
+    crowded = scratch_table(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd_rows), "crowded")
+    if crowded.isEmpty():
+        return None
 
-    A bin that holds many more rows than planned is cut into blocks of about ``block_rows`` rows by a
-    hash of the id; a query then visits all blocks of the bin, in separate tasks.
+    def fit(t: pa.Table) -> pa.Table:
+        n = t.column("n")[0].as_py()
+        x = matrix(t.column("vec"), dim)
+        tree = Tree.fit(x[np.lexsort(x.T)], int(max(16.0 if n > sample_rows else 1.0, leaf_rows * min(1.0, sample_rows / n))))
+        normals, offsets, kids, leaves = tree.row()
+        f, b = pa.list_(pa.float64()), pa.list_(pa.int64())
+        return pa.table({"leaf": t.column("leaf")[:1], "n": [n], "normals": pa.array([normals], f), "offsets": pa.array([offsets], f), "kids": pa.array([kids], b), "leaves": [leaves]})
+
+    sample = rows.join(crowded, "leaf").where(_share(F.col("n").cast("double"), sample_rows)).select("leaf", "n", "vec")
+    return scratch_table(sample.groupBy("leaf").applyInArrow(fit, _SUB), "subtrees")
+
+
+def _through_subtrees(ix: Index, rows: DataFrame, most: int | None, reach: float) -> DataFrame:
+    """(id, vec, leaf, sub, place): rows (id, vec, leaf) in their bin (``most`` None), or sent to at most ``most`` bins, best first.
+
+    Rows of a crowded leaf meet its subtree in chunks, by a hash of the id, so no task holds a leaf.
     """
+    if ix.subs is None:
+        return rows.select("id", "vec", "leaf", F.lit(0).cast("bigint").alias("sub"), F.lit(1).cast("bigint").alias("place"))
+    dim = ix.dim
+    chunks = F.ceil(F.col("n") / ix.chunk) * (1 if most is None else 8)
+    size = ix.subs.select("leaf", chunks.alias("chunks"))
+    plain = rows.join(size, "leaf", "left_anti").select("id", "vec", "leaf", F.lit(0).cast("bigint").alias("sub"), F.lit(1).cast("bigint").alias("place"))
+    cut = rows.join(size, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).select("leaf", "chunk", "id", "vec")
+    trees = ix.subs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+
+    def route(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float32())), "leaf": pa.array([], pa.int64()), "sub": pa.array([], pa.int64()), "place": pa.array([], pa.int64())})
+        tree = Tree.of_row(*[t.column(c)[0].as_py() for c in ("normals", "offsets", "kids", "leaves")])
+        x = matrix(q.column("vec"), dim)
+        bins = [[b] for b in tree.leaf_of(x).tolist()] if most is None else list(tree.visits(x, most, reach))
+        row = np.repeat(np.arange(len(x)), [len(b) for b in bins])
+        place = np.concatenate([np.arange(1, len(b) + 1) for b in bins])
+        got = q.take(pa.array(row))
+        return pa.table({"id": got.column("id"), "vec": got.column("vec"), "leaf": got.column("leaf"), "sub": np.concatenate(bins).astype(np.int64), "place": place})
+
+    inside = cut.groupBy("leaf", "chunk").cogroup(trees.groupBy("leaf", "chunk")).applyInArrow(route, "id bigint, vec array<float>, leaf bigint, sub bigint, place bigint")
+    return plain.unionByName(inside)
+
+
+def index(points: DataFrame, tree: Tree, dim: int, leaf_rows: int = 3000, crowd_rows: int = 6000, sub_sample: int = 20_000) -> Index:
+    """Every row of ``points`` (id, vec) in its bin, written to the shared folder.
+
+    Leaves of more than ``crowd_rows`` rows are divided by a subtree. A bin that stays larger (near copies of one vector) is
+    cut into blocks of that size by a hash of the id; a query then visits all blocks of the bin, in separate tasks.
+    """
+    held = points.sparkSession.sparkContext.broadcast(tree)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                leaf = tree.leaf_of(matrix(b.column("vec"), dim))
+                leaf = held.value.leaf_of(matrix(b.column("vec"), dim))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(leaf)], names=["id", "vec", "leaf"])
 
     rows = scratch_table(points.select("id", "vec").mapInArrow(label, "id bigint, vec array<float>, leaf bigint"), "leaves")
-    sizes = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))  # one row per leaf: at most most_leaves
-    return rows.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    ix = Index(rows, held, _subtrees(rows, dim, leaf_rows, crowd_rows, sub_sample), dim)
+    routed = _through_subtrees(ix, rows, None, 0.0).drop("place")
+    if ix.subs is not None:
+        routed = scratch_table(routed, "bins")
+    sizes = routed.groupBy("leaf", "sub").agg(F.ceil(F.count(F.lit(1)) / crowd_rows).alias("blocks"))
+    ix.rows = routed.join(sizes, ["leaf", "sub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return ix
+
+
+def _sent(ix: Index, queries: DataFrame, most: int, sub_most: int, reach: float, tag: bool = False) -> DataFrame:
+    """(id, vec, leaf, sub): the bins each query visits; with ``tag`` also their places in either order (at, place)."""
+    dim, held = ix.dim, ix.tree
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                bins = list(held.value.visits(matrix(b.column("vec"), dim), most, reach))
+                row = np.repeat(np.arange(len(b)), [len(v) for v in bins])
+                sent = pa.RecordBatch.from_arrays([b.column("id"), b.column("vec")], names=["id", "vec"]).take(pa.array(row))
+                at = np.concatenate([np.arange(1, len(v) + 1) for v in bins])
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(np.concatenate(bins).astype(np.int64)), pa.array(at)], names=["id", "vec", "leaf", "at"])
+
+    first = queries.select("id", "vec").mapInArrow(send, "id bigint, vec array<float>, leaf bigint, at bigint")
+    if not tag:
+        return _through_subtrees(ix, first, sub_most, reach).drop("place")
+    first = scratch_table(first, "calibration")
+    return _through_subtrees(ix, first, sub_most, reach).join(first.select("id", "leaf", "at"), ["id", "leaf"]).select("id", "leaf", "sub", "at", "place")
 
 
 def _top(cos: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-cos, k - 1, axis=1)[:, :k] if cos.shape[1] > k else np.tile(np.arange(cos.shape[1]), (len(cos), 1))
 
 
-def search(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, most: int, least_cos: float | None = None, skip_self: bool = True) -> DataFrame:
+def search(ix: Index, queries: DataFrame, k: int, most: int, sub_most: int, least_cos: float | None = None, skip_self: bool = True) -> DataFrame:
     """(id, other, cos): for every query (id, vec) its k most similar other rows among the visited bins.
 
     With ``least_cos`` only pairs at least that similar are looked for and every bin within the
     corresponding distance is visited. Equal cosines are ordered by id. A query is sent to each block of
     a visited bin; its candidates (at most k a block) are merged by a second aggregation.
     """
+    dim = ix.dim
     reach = float(np.sqrt(max(0.0, 2 - 2 * least_cos))) + 1e-5 if least_cos is not None else float("inf")
     floor = least_cos if least_cos is not None else -2.0
-    blocks = indexed.select("leaf", "blocks").distinct()  # one row per leaf: at most most_leaves
+    blocks = ix.rows.select("leaf", "sub", "blocks").distinct()  # one row per bin
     parts = F.ceil(F.col("blocks") / 8)  # the queries of a crowded bin are cut into parts too
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            bins = list(tree.visits(matrix(b.column("vec"), dim), most, reach))
-            row = np.repeat(np.arange(len(b)), [len(v) for v in bins])
-            sent = pa.RecordBatch.from_arrays([b.column("id"), b.column("vec")], names=["id", "vec"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(np.concatenate(bins).astype(np.int64))], names=["id", "vec", "leaf"])
-
-    sent = queries.select("id", "vec").mapInArrow(send, "id bigint, vec array<float>, leaf bigint")
     zero = F.lit(0).cast("bigint")
     sent = (
-        sent.join(F.broadcast(blocks), "leaf")
+        _sent(ix, queries, most, sub_most, reach)
+        .join(blocks, ["leaf", "sub"])
         .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        .select("leaf", "block", F.pmod(F.xxhash64("id"), parts).alias("part"), "id", "vec")
+        .select("leaf", "sub", "block", F.pmod(F.xxhash64("id"), parts).alias("part"), "id", "vec")
     )
-    rows = indexed.withColumn("part", F.explode(F.sequence(zero, parts - 1))).select("leaf", "block", "part", "id", "vec")
+    rows = ix.rows.withColumn("part", F.explode(F.sequence(zero, parts - 1))).select("leaf", "sub", "block", "part", "id", "vec")
 
     def compare(q: pa.Table, r: pa.Table) -> pa.Table:
         ids, others, coss = [], [], []
@@ -220,11 +305,8 @@ def search(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int,
         cat = lambda v, t: pa.array(np.concatenate(v) if v else [], type=t)
         return pa.table({"id": cat(ids, pa.int64()), "other": cat(others, pa.int64()), "cos": cat(coss, pa.float64())})
 
-    pairs = (
-        sent.groupBy("leaf", "block", "part")
-        .cogroup(rows.groupBy("leaf", "block", "part"))
-        .applyInArrow(compare, "id bigint, other bigint, cos double")
-    )
+    bin_of = ("leaf", "sub", "block", "part")
+    pairs = sent.groupBy(*bin_of).cogroup(rows.groupBy(*bin_of)).applyInArrow(compare, "id bigint, other bigint, cos double")
     w = Window.partitionBy("id").orderBy(F.col("cos").desc(), "other")  # at most k rows per visited block
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -232,9 +314,10 @@ def search(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int,
 def exact_nearest(points: DataFrame, sample: DataFrame, dim: int, k: int) -> DataFrame:
     """Brute force for a bounded calibration sample: (id, other, cos) against all rows, k best per partition merged."""
     got = sample.select("id", "vec").toArrow()
-    x, qi = matrix(got.column("vec"), dim), got.column("id").to_numpy()
+    held = points.sparkSession.sparkContext.broadcast((matrix(got.column("vec"), dim), got.column("id").to_numpy()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, qi = held.value
         for b in batches:
             if not len(b) or not len(qi):
                 continue
@@ -250,39 +333,55 @@ def exact_nearest(points: DataFrame, sample: DataFrame, dim: int, k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float = 0.95, sample_rows: int = 200) -> tuple[int, float]:
-    """Fewest bin visits whose recall on ``sample_rows`` queries reaches ``recall``, and that recall.
+@dataclass(frozen=True)
+class Visits:
+    """leaves and sub_leaves a query visits; recall of the calibration set and of the held-out set (null without one)."""
 
-    The truth comes from a scan of all rows; for each true neighbour the place of its bin in the
-    query's visiting order says how many visits would have found it.
-    """
-    sample = queries.orderBy(F.xxhash64("id")).limit(sample_rows).select("id", "vec")
-    got = sample.toArrow()
-    if not got.num_rows:
-        return 1, 1.0
-    truth = exact_nearest(indexed, sample, dim, k)
-    # at most sample_rows x k rows
-    rows = truth.join(indexed.select(F.col("id").alias("other"), "leaf"), "other").select("id", "leaf").collect()
-    order = dict(zip(got.column("id").to_pylist(), tree.visits(matrix(got.column("vec"), dim), tree.leaves, float("inf"))))
-    place = {q: {leaf: i + 1 for i, leaf in enumerate(bins)} for q, bins in order.items()}
-    needed = np.sort([place[r.id][r.leaf] for r in rows]) if rows else np.array([1])
-    visits = int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)])
-    return visits, float((needed <= visits).mean())
-
-
-def nearest_rows(points: DataFrame, dim: int, k: int, least_cos: float | None = None, pick: Column | None = None, recall: float = 0.97) -> DataFrame:
-    """(id, other, cos, rank): the k most similar other rows of every row of ``points`` (id, vec: unit vectors).
+    leaves: int
+    sub_leaves: int
+    recall: float
+    held_out: float | None
 
-    ``pick``: only rows for which it holds are asked about; all rows are searched. ``least_cos``: only pairs
-    at least that similar, all of them found. Equal cosines are ordered by id; a row without a partner has
-    no rows. Exact copies are searched once: the index holds the k + 1 smallest ids of a vector, which is
-    all that any list of k can name, and the lists are handed to the other copies by a join that AQE may
-    split, so a group of copies with a third of all rows costs no more than any other vector.
+
+def calibrate(ix: Index, queries: DataFrame, k: int, recall: float = 0.98, sample_rows: int = 200) -> Visits:
+    """Fewest visits whose recall on ``sample_rows`` queries reaches ``recall``; the recall on as many others is measured too.
+
+    The truth comes from a scan of all rows; for each true neighbour the place of its bin in the
+    query's visiting order, in the tree and in the leaf's subtree, says how many visits would have found it.
     """
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(2 * sample_rows).select("id", "vec")
+    got = scratch_table(sample, "calibration")
+    ids = [r.id for r in got.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").collect()]  # 2 x sample_rows
+    if not ids:
+        return Visits(1, 1, 1.0, None)
+    truth = exact_nearest(ix.rows, got, ix.dim, k).join(ix.rows.select(F.col("id").alias("other"), "leaf", "sub"), "other").select("id", "other", "leaf", "sub")
+    places = _sent(ix, got, 1 << 40, 1 << 40, float("inf"), tag=True)
+    rows = truth.join(places, ["id", "leaf", "sub"]).select("id", "at", "place").collect()  # 2 x sample_rows x k
+    if not rows:
+        return Visits(1, 1, 1.0, None)
+    fit = set(ids[: max(1, len(ids) // 2)]) if len(ids) > 1 else set(ids)
+    at, place = (np.array([getattr(r, c) for r in rows if r.id in fit]) for c in ("at", "place"))
+    if not len(at):
+        at, place = (np.array([getattr(r, c) for r in rows]) for c in ("at", "place"))
+    each = recall if ix.subs is None else 1 - (1 - recall) / 2
+    need = lambda v: int(np.sort(v)[max(0, int(np.ceil(each * len(v))) - 1)])
+    a, b = need(at), need(place)
+    rest = [r for r in rows if r.id not in fit]
+    return Visits(a, b, float(((at <= a) & (place <= b)).mean()), float(np.mean([r.at <= a and r.place <= b for r in rest])) if rest else None)
+
+
+@dataclass(frozen=True)
+class _Prepared:
+    ix: Index
+    asked: DataFrame
+    copies: DataFrame
+
+
+def _prepare(points: DataFrame, dim: int, k: int, pick: Column | None) -> _Prepared:
+    """Index of the different vectors, the queries among them and the copies that take over their lists."""
     same = Window.partitionBy("vec").orderBy("id")  # filtered to a few ranks: limited before the shuffle
     kept = scratch_table(points.select("id", "vec").withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= k + 1), "distinct-vectors")
-    tree = fit_tree(kept.where("rn = 1"), dim)
-    indexed = index(kept, tree, dim)
+    ix = index(kept, fit_tree(kept.where("rn = 1"), dim), dim)
     copied = points.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("vec", "rep")
     copies = points.select("id", "vec").join(copied, "vec").where("id <> rep").select("id", "rep")
     asked = kept.where("rn = 1").select("id", "vec")
@@ -290,12 +389,31 @@ def nearest_rows(points: DataFrame, dim: int, k: int, least_cos: float | None =
         of_copies = copies.where(pick).select(F.col("rep").alias("id"))
         asked = asked.where(pick).unionByName(asked.join(of_copies, "id", "left_semi").where(~pick))
         copies = copies.where(pick)
-    most = tree.leaves if least_cos is not None else calibrate(indexed, asked, tree, dim, k, recall)[0]
-    lists_of = search(indexed, asked, tree, dim, k + 1, most, least_cos, skip_self=False)
+    return _Prepared(ix, asked, copies)
+
+
+def recall_of(points: DataFrame, dim: int, k: int, pick: Column | None = None, recall: float = 0.98) -> Visits:
+    """Visits that ``nearest_rows`` makes, with the recall of its calibration and of a held-out set."""
+    p = _prepare(points, dim, k, pick)
+    return calibrate(p.ix, p.asked, k, recall)
+
+
+def nearest_rows(points: DataFrame, dim: int, k: int, least_cos: float | None = None, pick: Column | None = None, recall: float = 0.98) -> DataFrame:
+    """(id, other, cos, rank): the k most similar other rows of every row of ``points`` (id, vec: unit vectors).
+
+    ``pick``: only rows for which it holds are asked about; all rows are searched. ``least_cos``: only pairs
+    at least that similar, all of them found. Equal cosines are ordered by id; a row without a partner has
+    no rows. Exact copies are searched once: the index holds the k + 1 smallest ids of a vector, which is
+    all that any list of k can name, and the lists are handed to the other copies by a join that AQE may
+    split, so a group of copies with a third of all rows costs no more than any other vector.
+    """
+    p = _prepare(points, dim, k, pick)
+    visits = Visits(1 << 40, 1 << 40, 1.0, None) if least_cos is not None else calibrate(p.ix, p.asked, k, recall)
+    lists_of = search(p.ix, p.asked, k + 1, visits.leaves, visits.sub_leaves, least_cos, skip_self=False)
     owners = lists_of.select("id", "other", "cos", "rank")
     if pick is not None:
         owners = owners.where(pick)
-    spread = copies.join(lists_of.select(F.col("id").alias("rep"), "other", "cos", "rank"), "rep").select("id", "other", "cos", "rank")
+    spread = p.copies.join(lists_of.select(F.col("id").alias("rep"), "other", "cos", "rank"), "rep").select("id", "other", "cos", "rank")
     w = Window.partitionBy("id").orderBy("rank")  # k + 1 rows a group
     out = owners.unionByName(spread).where("id <> other").withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= k)

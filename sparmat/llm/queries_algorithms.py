@@ -75,7 +75,7 @@ def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         "obsm-current",
     )
     points = clusters.prepare(cells.where("ok"), DIM, "spectral", ["obs_id", "umap"])
-    dirs = clusters.fit(points, DIM)
+    dirs = clusters.fit(points, DIM).dirs
     members = clusters.assign(points, dirs, DIM, ["obs_id", "umap"])
     # one row per cluster; the driver already holds a direction for each
     means = members.groupBy("cluster").agg(F.avg(F.col("umap")[0]).alias("mx"), F.avg(F.col("umap")[1]).alias("my")).where("mx IS NOT NULL")
@@ -98,14 +98,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     members, by_umap = _clustered(spark, d)
     rows = scratch_table(members.select("obs_id", "cluster").unionByName(by_umap), "clustered")
     first = rows.groupBy("cluster").agg(F.min("obs_id").alias("first_obs_id"))
-    return rows.join(F.broadcast(first), "cluster").select("obs_id", "first_obs_id")  # one row per cluster
+    return rows.join(first, "cluster").select("obs_id", "first_obs_id")
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and smallest id count the cells placed by umap too; typical cells are those with a vector."""
     members, by_umap = _clustered(spark, d)
     t = clusters.typical(members, "obs_id", 5, by_umap)
-    return t.select(F.col("first_id").alias("first_obs_id"), F.col("size").alias("cells"), F.col("typical").alias("typical_obs_ids"))
+    spread = [F.round(c, 6).alias(c) for c in ("mean_dist", "max_dist")]
+    return t.select(F.col("first_id").alias("first_obs_id"), F.col("size").alias("cells"), *spread, F.col("typical").alias("typical_obs_ids"))
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +126,12 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("obs_id"), F.col("other").alias("neighbour"), "rank", F.round("cos", 6).alias("cosine"))
 
 
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves that p6_neighbours visits, the recall of its calibration queries and of as many held-out ones, against all cells."""
+    v = neighbours.recall_of(_cells(spark, d), DIM, 5, pick=F.col("id") % 50 == 0)
+    return spark.createDataFrame([(v.leaves, v.sub_leaves, v.recall, v.held_out)], "leaves bigint, sub_leaves bigint, calibration_recall double, held_out_recall double")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_genes(table(spark, d, "transcript"), table(spark, d, "genes"), ["tx_row_id"]).select("tx_row_id", "uid")
 
@@ -135,7 +142,7 @@ def p2_misses(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("gene_name", "gene_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact, p6_found, p6_neighbours)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p4_found, p4_clusters, p5_found, p5_sample_percentiles, p5_sample_percentiles_exact, p6_found, p6_neighbours, p6_recall)}
 
 _P5 = r"""
 WITH k AS (SELECT DISTINCT lower(regexp_replace(sample, '^\s+|\s+$', '', 'g')) AS sample FROM metadata WHERE sample IS NOT NULL),

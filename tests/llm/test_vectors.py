@@ -44,7 +44,9 @@ def test_bisecting_finds_planted_clusters(spark, local_rows):
     x, label = planted()
     points = frame(spark, x)
     lim = clusters.Limits(local_rows=local_rows)
-    dirs = clusters.fit(points, DIM, lim)
+    fit = clusters.fit(points, DIM, lim)
+    dirs = fit.dirs
+    assert fit.settled and fit.rounds >= 2
     got = clusters.assign(points, dirs, DIM, ["id"], lim)
     found = {}
     for r in got.collect():
@@ -53,10 +55,31 @@ def test_bisecting_finds_planted_clusters(spark, local_rows):
     assert {frozenset(s) for s in found.values()} == want
     top = {r.first_id: r for r in clusters.typical(got, "id", 3).collect()}
     assert {r.size for r in top.values()} == {300, 150, 60, 20, 7}
+    assert all(0 < r.mean_dist < r.max_dist <= 0.4 for r in top.values())
     m = x[label == 0].sum(axis=0)
     assert top[0].typical == np.nonzero(label == 0)[0][np.argsort(-(x[label == 0] @ m))[:3]].tolist()
 
 
+def test_where_and_when_nodes_are_split_changes_nothing(spark):
+    x, _ = planted(6, sizes=(400, 220, 120, 60, 30, 12, 8, 6), noise=300)
+    points = frame(spark, x).persist()
+    rows = []
+    for local_rows, budget in ((10_000, 512), (60, 512), (60, 2)):
+        lim = clusters.Limits(local_rows=local_rows, budget=budget)
+        got = clusters.assign(points, clusters.fit(points, DIM, lim).dirs, DIM, ["id"], lim)
+        rows.append(sorted((r.first_id, r["size"], round(r.mean_dist, 6), round(r.max_dist, 6), r.typical) for r in clusters.typical(got, "id", 4).collect()))
+    assert rows[0] == rows[1] == rows[2] and [r[1] for r in rows[0]] == [400, 220, 120, 60, 30, 12, 8, 6]
+
+
+def test_grouped_directions_are_exact():
+    rng = np.random.default_rng(4)
+    dirs = unit(rng.normal(size=(700, 6)))
+    x = unit(rng.normal(size=(3000, 6)))
+    lim = clusters.Limits()
+    a, b = clusters.Directions(dirs, lim, flat=10_000).near(x), clusters.Directions(dirs, lim, flat=10).near(x)
+    assert (a[0] == b[0]).all() and (a[0] >= 0).sum() > 500 and np.allclose(a[1][a[0] >= 0], b[1][a[0] >= 0])
+
+
 def test_clusters_count_cells_placed_by_umap(spark, tmp_path):
     x, label = planted()
     at = {k: [10.0 * k, 0.0] for k in range(5)}
@@ -74,9 +97,9 @@ def test_clusters_count_cells_placed_by_umap(spark, tmp_path):
 
 def test_copies_only_and_empty(spark):
     x = np.tile(unit(np.ones((1, DIM))), (40, 1))
-    assert len(clusters.fit(frame(spark, x), DIM, clusters.Limits(local_rows=10))) == 1
+    assert len(clusters.fit(frame(spark, x), DIM, clusters.Limits(local_rows=10)).dirs) == 1
     empty = frame(spark, x).limit(0)
-    dirs = clusters.fit(empty, DIM)
+    dirs = clusters.fit(empty, DIM).dirs
     assert len(dirs) == 0 and clusters.assign(empty, dirs, DIM, ["id"]).collect() == []
 
 
@@ -111,6 +134,23 @@ def test_recall_of_the_search(spark):
     assert hit / len(got) >= 0.9 and len(got) == 5 * len({r.id for r in got})
 
 
+def test_crowded_leaves_are_divided(spark, monkeypatch):
+    x, _ = planted(5, sizes=(700, 400, 200), noise=300)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([x, unit(x[::4] + rng.normal(scale=0.001, size=x[::4].shape))]).astype(np.float32).astype(float)
+    points = frame(spark, x).persist()
+    plain = {(r.id, r.other): round(r.cos, 6) for r in neighbours.nearest_rows(points, DIM, 5, least_cos=0.9995).collect()}
+    fit, whole = neighbours.fit_tree, neighbours.index
+    monkeypatch.setattr(neighbours, "fit_tree", lambda p, dim: fit(p, dim, leaf_rows=600))
+    monkeypatch.setattr(neighbours, "index", lambda p, t, dim: whole(p, t, dim, leaf_rows=40, crowd_rows=80, sub_sample=200))
+    assert plain == {(r.id, r.other): round(r.cos, 6) for r in neighbours.nearest_rows(points, DIM, 5, least_cos=0.9995).collect()}
+    _, best = brute(x, 5)
+    got = neighbours.nearest_rows(points, DIM, 5, pick=F.col("id") % 5 == 0).collect()
+    assert len(got) == 5 * -(-len(x) // 5) and sum(r.other in best[r.id] for r in got) / len(got) >= 0.9
+    v = neighbours.recall_of(points, DIM, 5, pick=F.col("id") % 5 == 0)
+    assert v.recall >= 0.95 and v.held_out >= 0.85 and v.sub_leaves >= 1
+
+
 def test_neighbours_of_nothing(spark):
     one = frame(spark, unit(np.ones((1, DIM))))
     assert neighbours.nearest_rows(one.limit(0), DIM, 5, least_cos=0.9).collect() == []
