@@ -180,7 +180,7 @@ def test_profiles_are_learned_from_structure():
     assert quality.structural_label(PROSE, common) == "prose_en" and quality.structural_label("3f 9a ff 00 1c 2d 77", common) == "junk"
     assert quality.structural_label("", common) is None and quality.structural_label("word word", common) is None
     p = quality.fit_profiles([PROSE] + lists + tables + ["", "3f 9a ff 00 1c 2d 77"], common)
-    assert {r[0] for r in quality.profile_rows(p)} == {"prose_en", "list", "table", "junk", "rest"}
+    assert {r[0] for r in quality.profile_rows(p)} == {"prose_en", "list", "table", "junk"}
     assert [r[1] for r in p.read([lists[0], tables[0], PROSE, None, " \n"])] == ["list", "table", "prose_en", "blank", "blank"]
     assert p.read([PROSE + "\n" + "x;1;2\n" * 400])[0][0] < 0.25  # mixed
     assert p.read([(PROSE + " ") * 3000])[0][0] == 1.0  # one long line
