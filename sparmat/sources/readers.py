@@ -21,17 +21,22 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~c.isin(*MISSING), c)
 
 
-def with_line_number(lines: DataFrame, into: str = "line") -> DataFrame:
-    """Adds the line's number from 0 in the order of the file, without a global sort: numbers within a partition plus the
-    counts of the earlier partitions (one row a partition)."""
-    d = lines.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    off = counts.select("_p", "_m0", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_o"))
-    return d.join(off, "_p").withColumn(into, F.col("_o") + F.col("_m") - F.col("_m0")).drop("_p", "_m", "_m0", "_o")
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_l, _file, _block): the lines of text files and the file and split they stand in."""
+    return spark.read.text(path).select(F.col("value").alias("_l"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumnRenamed("value", "_l")
+def with_line_number(lines: DataFrame, into: str = "line") -> DataFrame:
+    """Adds the line's number from 0 in the order of the files (by path) and of their lines; ``lines`` come from ``_lines``, maybe filtered.
+
+    Spark deals out splits by size, so the order of its partitions says nothing; but a split is read by one task from
+    its first line to its last: numbers within a split plus the counts of the earlier splits (one row a split).
+    """
+    d = lines.withColumn("_m", F.monotonically_increasing_id())
+    counts = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    off = counts.select("_file", "_block", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return d.join(off, ["_file", "_block"]).withColumn(into, F.col("_o") + F.col("_m") - F.col("_m0")).drop("_file", "_block", "_m", "_m0", "_o")
 
 
 # --- matrices ------------------------------------------------------------------------------------------
@@ -171,24 +176,47 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*[missing_to_null(F.col(c)).alias(c) for c in t.columns])
 
 
-def read_h5(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compressed sparse matrix in HDF5 (group 'matrix'); needs h5py."""
+def read_h5(spark: SparkSession, path: str, slices: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compressed sparse matrix in HDF5 (group 'matrix'); needs h5py and a path that all executors see.
+
+    The columns are cut into ``slices`` ranges; each task reads its part of ``indptr``, ``indices`` and ``data``. The
+    driver only reads the numbers of cells and features.
+    """
     try:
         import h5py
     except ImportError as e:
         raise RuntimeError("reading HDF5 needs h5py, which is not installed; convert to an MTX folder or Parquet") from e
     import numpy as np
+    import pyarrow as pa
 
     with h5py.File(path) as f:
-        g = f["matrix"]
-        ptr, ix, val = g["indptr"][:], g["indices"][:], g["data"][:]
-        cells = [b.decode() for b in g["barcodes"][:]]
-        ids = [b.decode() for b in g["features/id"][:]]
-    import pandas as pd
-
-    col = np.repeat(np.arange(len(cells)), np.diff(ptr))
-    entries = spark.createDataFrame(pd.DataFrame({"obs_id": np.array(cells)[col], "var_id": np.array(ids)[ix], "value": val.astype(float)}))
-    return entries, spark.createDataFrame([(c,) for c in cells], "obs_id string"), spark.createDataFrame([(i,) for i in ids], "var_id string")
+        n_cells, n_features = len(f["matrix/barcodes"]), len(f["matrix/features/id"])
+
+    def part(batches):
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                lo, hi = n_cells * k // slices, n_cells * (k + 1) // slices
+                if lo == hi:
+                    continue
+                with h5py.File(path) as f:
+                    g = f["matrix"]
+                    ptr = g["indptr"][lo : hi + 1]
+                    cells, ids = g["barcodes"][lo:hi].astype(str), g["features/id"][:].astype(str)
+                    ix, val = g["indices"][ptr[0] : ptr[-1]], g["data"][ptr[0] : ptr[-1]]
+                col = np.repeat(np.arange(hi - lo), np.diff(ptr))
+                yield pa.RecordBatch.from_arrays([pa.array(cells[col]), pa.array(ids[ix]), pa.array(val.astype(float))], names=["obs_id", "var_id", "value"])
+
+    def names(at: str, n: int, into: str) -> DataFrame:
+        def read(batches):
+            for b in batches:
+                for k in b.column("id").to_pylist():
+                    with h5py.File(path) as f:
+                        yield pa.RecordBatch.from_arrays([pa.array(f[at][n * k // slices : n * (k + 1) // slices].astype(str), pa.string())], names=[into])
+
+        return spark.range(slices).mapInArrow(read, f"{into} string")
+
+    entries = spark.range(slices).mapInArrow(part, "obs_id string, var_id string, value double")
+    return entries, names("matrix/barcodes", n_cells, "obs_id"), names("matrix/features/id", n_features, "var_id")
 
 
 REGISTRY: dict[tuple[str, str], Callable] = {

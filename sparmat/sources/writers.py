@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparmat.session import ranked, scratch_table
+
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("modality", "sample")) -> None:
     """Parquet partitioned by those of the columns that exist; reads of one sample prune the others."""
@@ -37,18 +39,20 @@ def write_gmt(members: DataFrame, path: str) -> None:
 
 
 def write_mtx(entries: DataFrame, obs: DataFrame, var: DataFrame, path: str) -> None:
-    """10x-like folder: matrix.mtx, barcodes.tsv and features.tsv as folders of text parts, rows numbered by name."""
-    from sparmat.sources.readers import with_line_number
-
-    o = with_line_number(obs.select("obs_id").orderBy("obs_id"), "o")
-    v = with_line_number(var.select("var_id").orderBy("var_id"), "v")
-    t = entries.join(o, "obs_id").join(v, "var_id").select((F.col("v") + 1).alias("i"), (F.col("o") + 1).alias("j"), "value").where("value <> 0")
+    """10x-like folder: matrix.mtx, barcodes.tsv and features.tsv as folders of text parts, rows numbered by name.
+
+    Names are numbered by range partitions; the files are written in the same order. Entries of names that ``obs`` or
+    ``var`` lack are left out, and zeros.
+    """
+    o = ranked(obs.select("obs_id").distinct(), [], ["obs_id"], "j")
+    v = ranked(var.select("var_id").distinct(), [], ["var_id"], "i")
+    t = scratch_table(entries.where("value <> 0").join(o, "obs_id").join(v, "var_id").select("i", "j", "value"), "mtx")
     body = t.orderBy("j", "i").select(F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("string")).alias("value"))
     spark = entries.sparkSession
-    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{var.count()} {obs.count()} {t.count()}",)], "value string").coalesce(1)
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{v.count()} {o.count()} {t.count()}",)], "value string").coalesce(1)
     head.unionByName(body).write.mode("overwrite").text(f"{path}/matrix.mtx")
-    obs.select("obs_id").orderBy("obs_id").write.mode("overwrite").text(f"{path}/barcodes.tsv")
-    var.select("var_id").orderBy("var_id").write.mode("overwrite").text(f"{path}/features.tsv")
+    o.orderBy("j").select(F.col("obs_id").cast("string")).write.mode("overwrite").text(f"{path}/barcodes.tsv")
+    v.orderBy("i").select(F.col("var_id").cast("string")).write.mode("overwrite").text(f"{path}/features.tsv")
 
 
 def load_table(spark: SparkSession, path: str, **equal) -> DataFrame:

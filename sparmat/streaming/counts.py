@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparmat.operators.genome import insertions
-from sparmat.session import shared_dir
+from sparmat.session import scratch_dir
 
 
 def tile_counts(frags: DataFrame, by: str, width: int) -> DataFrame:
@@ -40,7 +40,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     restarted driver goes on where it stopped.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", f"{base}/rows").start()

@@ -32,10 +32,55 @@ def test_mtx_folder(spark, tmp_path):
 
 
 def test_line_numbers(spark, tmp_path):
-    for i in range(3):
-        put(tmp_path, f"t/{i}.txt", "".join(f"{i}-{j}\n" for j in range(50)))
-    got = R.with_line_number(spark.read.text(str(tmp_path / "t"))).collect()
-    assert sorted(r.line for r in got) == list(range(150))
+    sizes = (3, 50, 10, 700)
+    for i, n in enumerate(sizes):
+        put(tmp_path, f"t/{i}.txt", "".join(f"{i} {j}\n" for j in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    start = [sum(sizes[:i]) for i in range(len(sizes))]
+    try:
+        for split in ("200b", "2kb", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            got = R.with_line_number(R._lines(spark, str(tmp_path / "t"))).collect()
+            assert len(got) == sum(sizes) and all(r.line == start[int(r._l.split()[0])] + int(r._l.split()[1]) for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_mtx_round_trip_over_many_splits(spark, tmp_path):
+    rows = [(f"c{i % 37:03d}", f"g{(i * 7) % 101:03d}", float(i % 9)) for i in range(900)]
+    entries = spark.createDataFrame(rows, "obs_id string, var_id string, value double").dropDuplicates(["obs_id", "var_id"]).persist()
+    obs, var = entries.select("obs_id").distinct(), entries.select("var_id").distinct()
+    W.write_mtx(entries, obs, var, str(tmp_path / "m"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("300b", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            e, o, v = R.read_mtx(spark, str(tmp_path / "m"))
+            assert {tuple(r) for r in e.collect()} == {tuple(r) for r in entries.where("value <> 0").collect()}
+            assert (o.count(), v.count()) == (obs.count(), var.count())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_shared_folder(spark, monkeypatch):
+    from sparmat import session
+
+    class Far:
+        master = "spark://far:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Far(), {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    t = session.scratch_table(spark.range(3), "x")
+    assert t.count() == 3
+    session.drop_scratch(spark)
+    with pytest.raises(Exception):
+        t.count()
 
 
 def test_dense_table_and_genes(spark, tmp_path):
