@@ -47,3 +47,8 @@ def binomial_tail(n: int, k: int, p: Column) -> Column:
     """P(X >= k) of Binomial(n, p): the Beta(k, n - k + 1) distribution function at p."""
     terms = [math.comb(n, j) * F.pow(p, j) * F.pow(1 - p, n - j) for j in range(k, n + 1)]
     return sum(terms[1:], terms[0])
+
+
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson's correlation of two columns; null where one of them is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

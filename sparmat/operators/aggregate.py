@@ -52,11 +52,11 @@ def aggregate_block(m: Matrix, obs_by: str, var_by: str) -> DataFrame:
 
 
 def grouped_rates(m: Matrix, by: str, length: Column) -> DataFrame:
-    """Per (group, variable): reads per million and per kilobase and million (``length`` in bases, from var)."""
+    """Per (group, variable): reads per million and per kilobase and million (``length`` in bases, from var); null for a total or a length of 0."""
     s = m.entries.join(m.obs.select("obs_id", by), "obs_id").groupBy(by, "var_id").agg(F.sum("value").alias("v"))
     total = s.groupBy(by).agg(F.sum("v").alias("t"))
-    rpm = F.col("v") / F.col("t") * 1e6
-    return s.join(total, by).join(m.var.select("var_id", length.alias("len")), "var_id").select(by, "var_id", rpm.alias("rpm"), (rpm / (F.col("len") / 1000)).alias("rpkm"))
+    rpm = F.try_divide("v", "t") * 1e6
+    return s.join(total, by).join(m.var.select("var_id", length.alias("len")), "var_id").select(by, "var_id", rpm.alias("rpm"), F.try_divide(rpm, F.col("len") / 1000).alias("rpkm"))
 
 
 def summary_cube(df: DataFrame, on: str, across: str, split: str) -> DataFrame:
@@ -109,8 +109,8 @@ def flag_outliers(df: DataFrame, by: str, value: str, method: str, n: float) ->
 
 def entropy(df: DataFrame, by: Sequence[str], count: str) -> DataFrame:
     """Shannon entropy in bits of ``count`` within ``by``, and the number of categories and the total."""
-    t = df.groupBy(*by).agg(F.sum(count).alias("total"), F.count(F.lit(1)).alias("k"), F.sum(F.col(count) * F.log2(count)).alias("s"))
-    return t.select(*by, "total", "k", (F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
+    t = df.groupBy(*by).agg(F.sum(count).alias("total"), F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col(count) > 0, F.col(count) * F.log2(count)).otherwise(0.0)).alias("s"))
+    return t.select(*by, "total", "k", F.coalesce(F.log2("total") - F.try_divide("s", "total"), F.lit(0.0)).alias("entropy"))
 
 
 def clone_matrix(df: DataFrame, clone: str, cluster: str) -> DataFrame:
@@ -123,12 +123,13 @@ def expansion(counts: DataFrame, clone: str, cluster: str, least: int = 5) -> Da
     return e.select(cluster, F.when((F.col("total") < least) | (F.col("k") < 2), 0.0).otherwise(1 - F.col("entropy") / F.log2("k")).alias("expansion"))
 
 
-def plasticity(counts: DataFrame, clone: str, cluster: str) -> DataFrame:
-    """Entropy over clusters of the mean row-normalised profile of the clones present in a cluster."""
+def plasticity(counts: DataFrame, clone: str, cluster: str, least: int = 5) -> DataFrame:
+    """Entropy over clusters of the mean row-normalised profile of the clones present in a cluster; 0 for fewer than ``least`` cells."""
     total = counts.groupBy(clone).agg(F.sum("n").alias("t"))
     share = counts.join(total, clone).select(clone, F.col(cluster).alias("other"), (F.col("n") / F.col("t")).alias("p"))
     per = counts.select(clone, cluster).join(share, clone).groupBy(cluster, "other").agg(F.sum("p").alias("p"))
-    return entropy(per, [cluster], "p").select(cluster, F.col("entropy").alias("plasticity"))
+    cells = counts.groupBy(cluster).agg(F.sum("n").alias("_n"))
+    return entropy(per, [cluster], "p").join(cells, cluster).select(cluster, F.when(F.col("_n") < least, 0.0).otherwise(F.col("entropy")).alias("plasticity"))
 
 
 def pairwise_transition(counts: DataFrame, clone: str, cluster: str, base: str) -> DataFrame:
@@ -141,7 +142,7 @@ def pairwise_transition(counts: DataFrame, clone: str, cluster: str, base: str)
     )
     got = both.groupBy(cluster).agg(F.sum(h * (F.col("a") + F.col("c"))).alias("hw"), F.sum("c").alias("c"), F.sum("a").alias("shared"))
     whole = b.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("t")).scalar()
-    return names.join(got, cluster).select(cluster, F.when(whole == 0, 0.0).otherwise(F.col("hw") / (F.col("c") + whole)).alias("transition"))
+    return names.join(got, cluster).select(cluster, F.when(whole == 0, 0.0).otherwise(F.try_divide("hw", F.col("c") + whole)).alias("transition"))
 
 
 def clone_size(df: DataFrame, clone: str, sample: str, expanded: int) -> DataFrame:
@@ -153,24 +154,27 @@ def clone_size(df: DataFrame, clone: str, sample: str, expanded: int) -> DataFra
 
 
 def welch_markers(m: Matrix, by: str) -> DataFrame:
-    """Per (group, variable): mean, mean of the rest, Welch's t, log2 fold change of means + 1e-9, detection in and out."""
+    """Per (group, variable): mean, mean of the rest, Welch's t, log2 fold change of means + 1e-9, detection in and out.
+
+    A group of one observation has variance 0; without a rest (a single group) its mean and detection are null, and so is the fold change, and t is 0.
+    """
     g = m.obs.groupBy(by).agg(F.count(F.lit(1)).alias("n1"))
     whole = m.obs.agg(F.count(F.lit(1)).alias("x")).scalar()
     e = m.entries.join(m.obs.select("obs_id", by), "obs_id")
     s = e.groupBy(by, "var_id").agg(F.count(F.lit(1)).alias("d"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     tot = s.groupBy("var_id").agg(F.sum("d").alias("td"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     x = s.join(tot, "var_id").join(g, by).withColumn("n2", whole - F.col("n1"))
-    x = x.withColumns({"m1": F.col("s") / F.col("n1"), "m2": (F.col("ts") - F.col("s")) / F.col("n2")})
+    x = x.withColumns({"m1": F.col("s") / F.col("n1"), "m2": F.try_divide(F.col("ts") - F.col("s"), "n2")})
     x = x.withColumns(
         {
-            "v1": (F.col("q") - F.col("n1") * F.col("m1") * F.col("m1")) / (F.col("n1") - 1),
-            "v2": (F.col("tq") - F.col("q") - F.col("n2") * F.col("m2") * F.col("m2")) / (F.col("n2") - 1),
+            "v1": F.coalesce(F.try_divide(F.col("q") - F.col("n1") * F.col("m1") * F.col("m1"), F.col("n1") - 1), F.lit(0.0)),
+            "v2": F.coalesce(F.try_divide(F.col("tq") - F.col("q") - F.col("n2") * F.col("m2") * F.col("m2"), F.when(F.col("n2") > 1, F.col("n2") - 1)), F.lit(0.0)),
         }
     )
-    se = F.sqrt(F.greatest(F.lit(0.0), F.col("v1")) / F.col("n1") + F.greatest(F.lit(0.0), F.col("v2")) / F.col("n2"))
+    se = F.sqrt(F.greatest(F.lit(0.0), F.col("v1")) / F.col("n1") + F.try_divide(F.greatest(F.lit(0.0), F.col("v2")), "n2"))
     return x.select(
         by, "var_id", F.col("m1").alias("mean_in"), F.col("m2").alias("mean_out"), F.when(se > 0, (F.col("m1") - F.col("m2")) / se).otherwise(0.0).alias("score"),
-        F.log2((F.col("m1") + 1e-9) / (F.col("m2") + 1e-9)).alias("lfc"), (F.col("d") / F.col("n1")).alias("pct"), ((F.col("td") - F.col("d")) / F.col("n2")).alias("pct_reference"),
+        F.log2((F.col("m1") + 1e-9) / (F.col("m2") + 1e-9)).alias("lfc"), (F.col("d") / F.col("n1")).alias("pct"), F.try_divide(F.col("td") - F.col("d"), "n2").alias("pct_reference"),
     )
 
 
@@ -178,6 +182,7 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve (rank-sum form, average ranks for ties) and average precision (ties by whole groups).
 
     Scores are compressed to distinct values with their counts first; ranks are then running sums over these.
+    Null without a positive (both) or without a negative (the area).
     """
     pos = F.when(F.col(label), 1).otherwise(0)
     d = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(pos).alias("p"), F.count(F.lit(1)).alias("n"))
@@ -187,7 +192,8 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
         "p", "n", (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), (all_p - F.col("run_p") + F.col("p")).alias("tp"), (all_n - F.col("run_n") + F.col("n")).alias("all")
     )
     s = r.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("rank") * F.col("p")).alias("R"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"))
-    return s.select(((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * (F.col("N") - F.col("P")))).alias("auroc"), (F.col("ap") / F.col("P")).alias("average_precision"))
+    area = F.try_divide(F.col("R") - F.col("P") * (F.col("P") + 1) / 2, F.col("P") * (F.col("N") - F.col("P")))
+    return s.select(area.alias("auroc"), F.try_divide("ap", "P").alias("average_precision"))
 
 
 def size_factors(m: Matrix) -> DataFrame:

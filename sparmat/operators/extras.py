@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparmat.functions.stats import correlation
 from sparmat.model import Matrix
 from sparmat.operators.genome import insertions, overlap_join
 
@@ -77,10 +78,10 @@ def position_bits(df: DataFrame, seq: str, length: int, alphabet: str = "ACGT")
 
 
 def layer_shares(df: DataFrame, by: str, layers: Sequence[str]) -> DataFrame:
-    """Share of each layer (e.g. spliced, unspliced) in a group's total."""
+    """Share of each layer (e.g. spliced, unspliced) in a group's total; null for a total of 0."""
     g = df.groupBy(by).agg(*[F.sum(c).alias(c) for c in layers])
     total = sum((F.col(c) for c in layers[1:]), F.col(layers[0]))
-    return g.select(by, *[(F.col(c) / total).alias(c) for c in layers])
+    return g.select(by, *[F.try_divide(c, total).alias(c) for c in layers])
 
 
 def top_mask(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
@@ -108,7 +109,7 @@ def ambient_profile(m: Matrix, low: float, high: float) -> DataFrame:
     """(var_id, share): each variable's share of the counts of observations whose total lies strictly between the bounds."""
     t = m.entries.groupBy("obs_id").agg(F.sum("value").alias("t")).where((F.col("t") > low) & (F.col("t") < high))
     s = m.entries.join(t, "obs_id", "left_semi").groupBy("var_id").agg(F.sum("value").alias("s"))
-    return s.select("var_id", (F.col("s") / s.agg(F.sum("s").alias("x")).scalar()).alias("share"))
+    return s.select("var_id", F.try_divide("s", s.agg(F.sum("s").alias("x")).scalar()).alias("share"))
 
 
 def quantile_bins(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
@@ -133,6 +134,6 @@ def cluster_spread(values: DataFrame, by: str, value: str) -> DataFrame:
 
 def correlation_with_self(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """(by, a, b, rho): Pearson correlation of each pair of columns per group."""
-    out = df.groupBy(by).agg(*[F.corr(a, b).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]])
+    out = df.groupBy(by).agg(*[correlation(a, b).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]])
     names = [c for c in out.columns if c != by]
     return out.unpivot([by], names, "pair", "rho").select(by, F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "rho")

@@ -223,12 +223,12 @@ def coverage(frags: DataFrame, key: str, width: int, sizes: DataFrame | None = N
 
 
 def scale_track(track: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """'bpm': value / (sum of length x value / 1e6); 'cpm': value / (sum of values of the segments / 1e6) per ``by``."""
+    """'bpm': value / (sum of length x value / 1e6); 'cpm': value / (sum of values of the segments / 1e6) per ``by``; null for a sum of 0."""
     w = F.sum((F.col("end") - F.col("start")) * F.col("value")) if how == "bpm" else F.sum("value")
     t = track.groupBy(*by).agg(w.alias("_t")) if by else track.agg(w.alias("_t"))
     if not by:
-        return track.withColumn("value", F.col("value") / (t.scalar() / 1e6))
-    return track.join(t, list(by)).withColumn("value", F.col("value") / (F.col("_t") / 1e6)).drop("_t")
+        return track.withColumn("value", F.try_divide(F.col("value") * 1e6, t.scalar()))
+    return track.join(t, list(by)).withColumn("value", F.try_divide(F.col("value") * 1e6, F.col("_t"))).drop("_t")
 
 
 def smooth(track: DataFrame, key: str, half: int) -> DataFrame:

@@ -28,7 +28,7 @@ def hub_correction(edges: DataFrame, h: float) -> DataFrame:
 
 def row_normalized(edges: DataFrame) -> DataFrame:
     t = edges.groupBy("src").agg(F.sum("weight").alias("_t"))
-    return edges.join(t, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("weight"))
+    return edges.join(t, "src").select("src", "dst", F.coalesce(F.try_divide("weight", "_t"), F.lit(0.0)).alias("weight"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, every: int = 4) -> DataFrame:
@@ -38,7 +38,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, eve
     nodes without out-edges is not passed on.
     """
     p = row_normalized(edges)
-    e = seeds.select("node", (F.col("weight") / seeds.agg(F.sum("weight").alias("s")).scalar()).alias("rank"))
+    e = seeds.select("node", F.try_divide("weight", seeds.agg(F.sum("weight").alias("s")).scalar()).alias("rank"))
     r = e
     for i in range(steps):
         flow = r.join(p, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("rank") * F.col("weight"))).alias("rank"))
@@ -134,13 +134,13 @@ def cosine_of_items(entries: DataFrame, least_shared: int) -> DataFrame:
     x = entries.select("obs_id", F.col("var_id").alias("a"), F.col("value").alias("x")).join(entries.select("obs_id", F.col("var_id").alias("b"), F.col("value").alias("y")), "obs_id").where("a < b")
     s = x.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_shared)
     s = s.join(norm.select(F.col("var_id").alias("a"), F.col("n").alias("na")), "a").join(norm.select(F.col("var_id").alias("b"), F.col("n").alias("nb")), "b")
-    return s.select("a", "b", (F.col("d") / (F.col("na") * F.col("nb"))).alias("cosine"))
+    return s.select("a", "b", F.coalesce(F.try_divide("d", F.col("na") * F.col("nb")), F.lit(0.0)).alias("cosine"))
 
 
 def idf_l2(entries: DataFrame, n_obs: Column) -> DataFrame:
     """value x ln(n / df) (df of n counts as n - 1), rows scaled to unit norm."""
     df = entries.groupBy("var_id").agg(F.count(F.lit(1)).alias("df"))
-    w = entries.join(df, "var_id").withColumn("value", F.col("value") * F.log(n_obs / F.least(F.col("df"), n_obs - 1)))
+    w = entries.join(df, "var_id").withColumn("value", F.col("value") * F.coalesce(F.log(F.try_divide(n_obs, F.least(F.col("df"), n_obs - 1))), F.lit(0.0)))
     t = w.groupBy("obs_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("t"))
     return w.join(t, "obs_id").select("obs_id", "var_id", F.when(F.col("t") > 0, F.col("value") / F.col("t")).otherwise(0.0).alias("value"))
 
@@ -198,11 +198,11 @@ def transition_probabilities(edges: DataFrame, scale: float) -> DataFrame:
     """(id, other, p): expm1(scale x cosine) of positive cosines, normalised per row."""
     e = edges.where("cosine > 0").withColumn("w", F.expm1(scale * F.col("cosine")))
     t = e.groupBy("id").agg(F.sum("w").alias("t"))
-    return e.join(t, "id").select("id", "other", (F.col("w") / F.col("t")).alias("p"))
+    return e.join(t, "id").select("id", "other", F.try_divide("w", "t").alias("p"))
 
 
 def local_outlier_factor(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """(id, lof) of the queries among all rows, by definition. Neighbour lists are searched only for the rows that
+    """(id, lof) of the queries among all rows, by definition; 1 where all neighbours are copies. Neighbour lists are searched only for the rows that
     the definition reaches: the queries, their neighbours, and the neighbours of these."""
     near = scratch_table(knn_exact(queries, data, k), "knn-0")
     second = data.join(near.select(F.col("other").alias("id")).distinct(), "id", "left_semi")
@@ -211,9 +211,9 @@ def local_outlier_factor(queries: DataFrame, data: DataFrame, k: int) -> DataFra
     lists = scratch_table(near.unionByName(near1).unionByName(knn_exact(third, data, k)).distinct(), "knn-all")
     kd = lists.groupBy("id").agg(F.max("dist").alias("kd"))
     reach = lists.join(kd.select(F.col("id").alias("other"), "kd"), "other").withColumn("r", F.greatest("dist", "kd"))
-    lrd = reach.groupBy("id").agg((F.count(F.lit(1)) / F.sum("r")).alias("lrd"))
+    lrd = reach.groupBy("id").agg(F.try_divide(F.count(F.lit(1)), F.sum("r")).alias("lrd"))
     x = near.join(lrd.select(F.col("id").alias("other"), F.col("lrd").alias("lo")), "other").join(lrd, "id")
-    return x.groupBy("id").agg((F.avg("lo") / F.first("lrd")).alias("lof"))
+    return x.groupBy("id").agg(F.coalesce(F.try_divide(F.avg("lo"), F.first("lrd")), F.lit(1.0)).alias("lof"))
 
 
 def kernel_density(queries: DataFrame, data: DataFrame, bandwidth: float) -> DataFrame:
@@ -340,23 +340,26 @@ def nmf(data: DataFrame, k: int, steps: int, inner: int = 20) -> tuple[DataFrame
 
 
 def slope_through_origin(df: DataFrame, by: str, x: str, y: str, top_share: float | None = None) -> DataFrame:
-    """gamma = sum(x y) / sum(x x) per group; with ``top_share`` only rows at or above that quantile of x + y."""
+    """gamma = sum(x y) / sum(x x) per group (null where all x are 0); with ``top_share`` only rows at or above that quantile of x + y."""
     d = df
     if top_share is not None:
         q = df.groupBy(by).agg(F.percentile(F.col(x) + F.col(y), top_share).alias("_q"))
         d = df.join(q, by).where(F.col(x) + F.col(y) >= F.col("_q"))
-    return d.groupBy(by).agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("gamma"))
+    return d.groupBy(by).agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("gamma"))
 
 
 def moment_dispersions(m, factors: DataFrame) -> DataFrame:
-    """(var_id, mean, dispersion): max(0, (s^2 - mean(1 / sf) mean) / mean^2) of size-factor normalised values, s^2 with n - 1, zeros counted."""
+    """(var_id, mean, dispersion): max(0, (s^2 - mean(1 / sf) mean) / mean^2) of size-factor normalised values, s^2 with n - 1, zeros counted.
+
+    With one observation, or for a mean of 0, the dispersion is 0."""
     n = m.obs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    factors = factors.where("size_factor > 0")
     z = factors.agg(F.avg(1 / F.col("size_factor")).alias("z")).scalar()
     e = m.entries.join(factors, "obs_id").withColumn("x", F.col("value") / F.col("size_factor"))
     s = e.groupBy("var_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).withColumns({"n": n, "z": z})
     mean = F.col("s") / F.col("n")
-    var = (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)
-    return s.select("var_id", mean.alias("mean"), F.greatest(F.lit(0.0), (var - F.col("z") * mean) / (mean * mean)).alias("dispersion"))
+    var = F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1)
+    return s.select("var_id", mean.alias("mean"), F.greatest(F.lit(0.0), F.try_divide(var - F.col("z") * mean, mean * mean)).alias("dispersion"))
 
 
 def negative_binomial_fit(counts: DataFrame, steps: int = 30) -> DataFrame:

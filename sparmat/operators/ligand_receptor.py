@@ -13,7 +13,7 @@ from sparmat.operators.aggregate import pseudobulk
 def group_stats(m: Matrix, by: str) -> DataFrame:
     """(by, var_id, mean, prop, sd, trimean, z, lfc, n): statistics of a group, zeros counted.
 
-    z: mean of the group's z-scores over all observations; lfc: log2((mean + 1) / (mean of the rest + 1)).
+    z: mean of the group's z-scores over all observations; lfc: log2((mean + 1) / (mean of the rest + 1)), null for a single group.
     """
     p = pseudobulk(m, by, quantiles=True)
     n = m.obs.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -21,7 +21,7 @@ def group_stats(m: Matrix, by: str) -> DataFrame:
     d = p.join(t, "var_id").withColumn("_n", n)
     all_mean = F.col("_s") / F.col("_n")
     all_sd = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - all_mean * all_mean))
-    rest = (F.col("_s") - F.col("sum_v")) / (F.col("_n") - F.col("n_obs"))
+    rest = F.try_divide(F.col("_s") - F.col("sum_v"), F.col("_n") - F.col("n_obs"))
     return d.select(
         by, "var_id", F.col("mean_v").alias("mean"), (F.col("n_detected") / F.col("n_obs")).alias("prop"), F.sqrt(F.greatest(F.lit(0.0), F.col("var_v"))).alias("sd"), F.col("trimean_v").alias("trimean"),
         F.when(all_sd > 0, (F.col("mean_v") - all_mean) / all_sd).otherwise(0.0).alias("z"), F.log2((F.col("mean_v") + 1) / (rest + 1)).alias("lfc"), F.col("n_obs").alias("n"),
@@ -44,7 +44,7 @@ def pair_stats(stats: DataFrame, resource: DataFrame, by: str, least_prop: float
 def scorers(mu: Column, top: Column) -> dict[str, Column]:
     """Scores by name; ``mu``: mean of all cells of the matrix, ``top``: its largest value. Register others by adding to the dict."""
     l, r = F.col("l_mean"), F.col("r_mean")  # noqa: E741
-    both = (F.col("l_trimean") / top) * (F.col("r_trimean") / top)
+    both = F.coalesce(F.try_divide("l_trimean", top) * F.try_divide("r_trimean", top), F.lit(0.0))
     root = F.sqrt(l) * F.sqrt(r)
     cdf = lambda c: F.when(F.col(f"{c}_mean") == 0, 0.0).otherwise(normal_cdf((F.col(f"{c}_mean") - mu) * F.sqrt(F.col(f"{c}_n")) / F.when(F.col(f"{c}_sd") > 0, F.col(f"{c}_sd"))))
     return {
@@ -55,15 +55,15 @@ def scorers(mu: Column, top: Column) -> dict[str, Column]:
         "geomean": F.sqrt(l * r),
         "logfc": (F.col("l_lfc") + F.col("r_lfc")) / 2,
         "natmi": l * r,
-        "natmi_spec": (l / F.col("l_sum")) * (r / F.col("r_sum")),
-        "sca": root / (root + mu),
+        "natmi_spec": F.coalesce(F.try_divide(l, F.col("l_sum")) * F.try_divide(r, F.col("r_sum")), F.lit(0.0)),
+        "sca": F.coalesce(F.try_divide(root, root + mu), F.lit(0.0)),
         "scseqcomm": F.least(cdf("l"), cdf("r")),
     }
 
 
 def score(m: Matrix, by: str, resource: DataFrame, least_prop: float) -> DataFrame:
     """All scores per (source, target, ligand, receptor)."""
-    mu = m.entries.agg(F.sum("value").alias("s")).scalar() / (m.obs.agg(F.count(F.lit(1)).alias("n")).scalar() * m.var.agg(F.count(F.lit(1)).alias("n")).scalar())
+    mu = F.try_divide(m.entries.agg(F.sum("value").alias("s")).scalar(), m.obs.agg(F.count(F.lit(1)).alias("n")).scalar() * m.var.agg(F.count(F.lit(1)).alias("n")).scalar())
     top = m.entries.agg(F.max("value").alias("t")).scalar()
     p = pair_stats(group_stats(m, by), resource, by, least_prop).withColumns({"_mu": mu, "_top": top})
     return p.select("source", "target", "ligand", "receptor", *[c.alias(n) for n, c in scorers(F.col("_mu"), F.col("_top")).items()])

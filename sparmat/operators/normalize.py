@@ -10,10 +10,10 @@ from sparmat.session import running_totals
 
 
 def normalize_total(m: Matrix, target: float | None = None) -> DataFrame:
-    """value x target / total of the observation; ``target`` defaults to the mean total of observations with entries."""
+    """value x target / total of the observation; ``target`` defaults to the mean total of observations with entries; 0 for an observation of total 0."""
     t = m.entries.groupBy("obs_id").agg(F.sum("value").alias("t"))
     goal = F.lit(target) if target is not None else t.agg(F.avg("t").alias("x")).scalar()
-    return m.entries.join(t, "obs_id").select("obs_id", "var_id", (F.col("value") * goal / F.col("t")).alias("value"))
+    return m.entries.join(t, "obs_id").select("obs_id", "var_id", F.coalesce(F.try_divide(F.col("value") * goal, "t"), F.lit(0.0)).alias("value"))
 
 
 def log1p(entries: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def clr(m: Matrix) -> DataFrame:
     """log1p(value / exp(mean(log1p(value)))) per observation, zeros in the mean."""
     n = m.var.agg(F.count(F.lit(1)).alias("n")).scalar()
     g = m.entries.groupBy("obs_id").agg((F.sum(F.log1p("value"))).alias("s"))
-    return m.entries.join(g, "obs_id").select("obs_id", "var_id", F.log1p(F.col("value") / F.exp(F.col("s") / n)).alias("value"))
+    return m.entries.join(g, "obs_id").select("obs_id", "var_id", F.log1p(F.col("value") / F.exp(F.try_divide("s", n))).alias("value"))
 
 
 def zscore_params(m: Matrix) -> DataFrame:
@@ -49,11 +49,11 @@ def normalize_rows(entries: DataFrame, by: str) -> DataFrame:
 
 def dispersion_bins(m: Matrix, bins: int = 20) -> DataFrame:
     """Variable selection by binned dispersion: mean, dispersion (var / mean), bin of equal width in the mean, and the
-    dispersion's z-score in its bin (population sd; a bin of one variable has z 1)."""
+    dispersion's z-score in its bin (population sd; a bin of one variable has z 1). A variable of mean 0 has dispersion 0."""
     n = m.obs.agg(F.count(F.lit(1)).alias("n")).scalar()
     s = m.entries.groupBy("var_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     mean = F.col("s") / n
-    s = s.select("var_id", mean.alias("mean"), ((F.col("q") / n - mean * mean) / mean).alias("disp"))
+    s = s.select("var_id", mean.alias("mean"), F.coalesce(F.try_divide(F.col("q") / n - mean * mean, mean), F.lit(0.0)).alias("disp"))
     edge = s.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     lo, hi = edge.select("lo").scalar(), edge.select("hi").scalar()
     s = s.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("mean") - lo) / F.when(hi > lo, hi - lo).otherwise(1.0) * bins)).cast("int"))
@@ -67,13 +67,14 @@ def top_rows(df: DataFrame, order, n: int) -> DataFrame:
 
 
 def stable_variables(m: Matrix, n: int, detection: float) -> DataFrame:
-    """The n variables of the highest mean / sd of log1p values among those detected in more than ``detection`` of the observations."""
+    """The n variables of the highest mean / sd of log1p values among those detected in more than ``detection`` of the observations.
+    A constant variable has no signal and is left out."""
     total = m.obs.agg(F.count(F.lit(1)).alias("n")).scalar()
     l = F.log1p("value")  # noqa: E741
     s = m.entries.groupBy("var_id").agg(F.count(F.lit(1)).alias("d"), F.sum(l).alias("s"), F.sum(l * l).alias("q"))
     mean = F.col("s") / total
-    sd = F.sqrt(F.col("q") / total - mean * mean)
-    s = s.where(F.col("d") > detection * total).select("var_id", F.round(mean / sd, 9).alias("signal"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / total - mean * mean))
+    s = s.where(F.col("d") > detection * total).select("var_id", F.round(F.try_divide(mean, sd), 9).alias("signal")).where("signal IS NOT NULL")
     return top_rows(s, [F.col("signal").desc(), "var_id"], n)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparmat.functions.stats import binomial_tail, chi2_tail, ln_choose
+from sparmat.functions.stats import binomial_tail, chi2_tail, correlation, ln_choose
 from sparmat.model import Matrix
 from sparmat.session import running_totals, scratch_table
 
@@ -28,7 +28,7 @@ def recovery_auc(ranked: DataFrame, signature: DataFrame, cutoff: int) -> DataFr
     """
     top = signature.groupBy("set").agg(F.sum("weight").alias("w"))
     hit = ranked.where(F.col("rank") < cutoff).join(signature, "var_id").groupBy("obs_id", "set").agg(F.sum(F.col("weight") * (cutoff - F.col("rank"))).alias("a"))
-    return hit.join(top, "set").select("obs_id", "set", (F.col("a") / (cutoff * F.col("w"))).alias("auc"))
+    return hit.join(top, "set").select("obs_id", "set", F.coalesce(F.try_divide("a", cutoff * F.col("w")), F.lit(0.0)).alias("auc"))
 
 
 def enrichment_scores(auc: DataFrame, n_obs: Column) -> DataFrame:
@@ -43,7 +43,7 @@ def running_enrichment(scored: DataFrame, signature: DataFrame, by: str, score:
     """Running-sum enrichment per (by, set): es, rank of the extreme, and the leading edge as a sorted array.
 
     Variables are ordered by falling score (ties by variable). A hit adds |score| / its total, a miss takes away
-    1 / (N - hits). Windows run per group and set over the variables.
+    1 / (N - hits); a set of all variables has no misses, one whose scores are all 0 no hits.
     """
     sets = signature.select("set").distinct()
     n = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
@@ -54,8 +54,9 @@ def running_enrichment(scored: DataFrame, signature: DataFrame, by: str, score:
     tot = h.groupBy(by, "set").agg(F.count(F.lit(1)).alias("k"), F.sum(F.abs(score)).alias("t")).join(n, by)
     wh = Window.partitionBy(by, "set").orderBy("rank")
     h = h.join(tot, [by, "set"]).withColumns({"c": F.sum(F.abs(score)).over(wh.rowsBetween(*UP_TO)), "i": F.row_number().over(wh)})
-    miss = (F.col("rank") - F.col("i")) / (F.col("n") - F.col("k"))
-    after, before = F.col("c") / F.col("t") - miss, (F.col("c") - F.abs(score)) / F.col("t") - miss
+    miss = F.coalesce(F.try_divide(F.col("rank") - F.col("i"), F.col("n") - F.col("k")), F.lit(0.0))
+    part = lambda c: F.coalesce(F.try_divide(c, "t"), F.lit(0.0))
+    after, before = part(F.col("c")) - miss, part(F.col("c") - F.abs(score)) - miss
     e = h.select(by, "set", "var_id", "rank", "k", "n", after.alias("up"), before.alias("down"))
     x = e.groupBy(by, "set").agg(F.max(F.struct("up", -F.col("rank"))).alias("hi"), F.min(F.struct("down", "rank")).alias("lo"))
     pos = F.col("hi.up") >= -F.col("lo.down")
@@ -76,7 +77,7 @@ def gene_set_score(m: Matrix, members: DataFrame, bins: int) -> DataFrame:
     side = inset.join(used, "bin", "left_semi").select("var_id", "is_set")
     n1, n0 = side.where("is_set").agg(F.count(F.lit(1)).alias("n")).scalar(), side.where("NOT is_set").agg(F.count(F.lit(1)).alias("n")).scalar()
     s = m.entries.join(side, "var_id").groupBy("obs_id").agg(F.sum(F.when(F.col("is_set"), F.col("value")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("is_set"), F.col("value")).otherwise(0.0)).alias("c"))
-    return m.obs.select("obs_id").join(s, "obs_id", "left").select("obs_id", (F.coalesce("a", F.lit(0.0)) / n1 - F.coalesce("c", F.lit(0.0)) / n0).alias("score"))
+    return m.obs.select("obs_id").join(s, "obs_id", "left").select("obs_id", (F.coalesce(F.try_divide("a", n1), F.lit(0.0)) - F.coalesce(F.try_divide("c", n0), F.lit(0.0))).alias("score"))
 
 
 def overrepresentation(hits: DataFrame, signature: DataFrame, universe: Column) -> DataFrame:
@@ -100,7 +101,7 @@ def two_by_two(df: DataFrame, by: str, hit: Column, foreground: Column) -> DataF
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
     den = (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
     chi = F.when(den > 0, n * F.pow(F.col("a") * F.col("d") - F.col("b") * F.col("c"), 2) / den).otherwise(0.0)
-    fold = F.try_divide(F.col("a") / (F.col("a") + F.col("b")), F.try_divide(F.col("c"), F.col("c") + F.col("d")))
+    fold = F.try_divide(F.try_divide("a", F.col("a") + F.col("b")), F.try_divide(F.col("c"), F.col("c") + F.col("d")))
     return g.select(by, fold.alias("fold"), chi.alias("chi2"), chi2_tail(chi).alias("p"))
 
 
@@ -123,7 +124,7 @@ def average_ranks(df: DataFrame, by: str, value: str, into: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     r = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y), by, x, "_x"), by, y, "_y")
-    return r.groupBy(by).agg(F.corr("_x", "_y").alias("rho"))
+    return r.groupBy(by).agg(correlation("_x", "_y").alias("rho"))
 
 
 def masked_pearson(entries: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
@@ -131,7 +132,7 @@ def masked_pearson(entries: DataFrame, pairs: DataFrame, least: int) -> DataFram
     e = entries.where("value <> 0")
     x = pairs.join(e.select(F.col("var_id").alias("a"), "obs_id", F.col("value").alias("_x")), "a")
     j = x.join(e.select(F.col("var_id").alias("b"), "obs_id", F.col("value").alias("_y")), ["b", "obs_id"])
-    return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho")).where(F.col("n") >= least)
+    return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("_x", "_y").alias("rho")).where(F.col("n") >= least)
 
 
 def robust_rank_aggregate(ranks: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -142,16 +143,15 @@ def robust_rank_aggregate(ranks: DataFrame, columns: Sequence[str]) -> DataFrame
 
 
 def relative_ranks(df: DataFrame, columns: dict[str, bool]) -> DataFrame:
-    """Average-tie ranks over the number of rows per column (True: falling, False: rising); equal values are compressed first."""
+    """Average-tie ranks over the column's largest rank (True: falling, False: rising); equal values are compressed first."""
     df = scratch_table(df, "scores")  # read once a column
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = df
     for c, falling in columns.items():
         d = df.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
         order = F.col(c).desc_nulls_last() if falling else F.col(c).asc_nulls_last()
-        d = running_totals(d, [order], ["_k"])
-        r = d.select(F.col(c).alias("_v"), (F.col("run__k") - (F.col("_k") - 1) / 2).alias(f"rank_{c}"))
-        out = out.join(r, F.col(c).eqNullSafe(F.col("_v"))).drop("_v").withColumn(f"rank_{c}", F.col(f"rank_{c}") / n)
+        r = running_totals(d, [order], ["_k"]).select(F.col(c).alias("_v"), (F.col("run__k") - (F.col("_k") - 1) / 2).alias("_r"))
+        r = scratch_table(r, "ranks")
+        out = out.join(r, F.col(c).eqNullSafe(F.col("_v"))).withColumn(f"rank_{c}", F.col("_r") / r.agg(F.max("_r").alias("m")).scalar()).drop("_v", "_r")
     return out
 
 
@@ -204,4 +204,4 @@ def call_cells(counts: DataFrame, key: str, n: str, expected: int) -> DataFrame:
 def expression_entropy(m: Matrix) -> DataFrame:
     """(var_id, mean_log, log_mean): mean of log1p over all observations and log of the mean + 1."""
     n = m.obs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return m.entries.groupBy("var_id").agg((F.sum(F.log1p("value")) / n).alias("mean_log"), F.log1p(F.sum("value") / n).alias("log_mean"))
+    return m.entries.groupBy("var_id").agg(F.try_divide(F.sum(F.log1p("value")), n).alias("mean_log"), F.log1p(F.try_divide(F.sum("value"), n)).alias("log_mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparmat.functions.text import barcode_code, barcode_text
-from sparmat.model import Matrix, orders_matrix
+from sparmat.model import orders_matrix
 from sparmat.operators import aggregate as A
 from sparmat.operators import extras as X
 from sparmat.operators import genome as G
@@ -19,7 +19,7 @@ def _r(df, *cols, n=6):
 
 def metacell_means(s, d):
     m = orders_matrix(s, d)
-    return _r(X.metacell_means(m, m.obs.select("obs_id", (F.col("custkey") % 12).alias("metacell"))), "value")
+    return _r(X.metacell_means(m, m.obs.select("obs_id", F.col("custkey").alias("metacell"))), "value")
 
 
 def _profile(s, d):
@@ -56,7 +56,8 @@ def sankey_flows(s, d):
 
 
 def clone_ids(s, d):
-    o = table(s, d, "orders").select((F.col("o_custkey") % 9).alias("patient"), (F.col("o_custkey") % 40).alias("clone"), "o_orderkey")
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("clone"), F.col("c_nationkey").alias("patient"))
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("clone"), "o_orderkey").join(c, "clone")
     return X.clone_ids(o, "patient", "clone", "o_orderkey")
 
 
@@ -80,13 +81,6 @@ def scaled_mad(s, d):
 
 
 def constant_variables(s, d):
-    m = orders_matrix(s, d)
-    some = m.entries.where("var_id % 3 <> 0")
-    return X.constant_variables(Matrix(some, m.obs, m.var))
-
-
-def constant_variables_whole(s, d):
-    """Over all entries; constant_variables leaves out a third of the variables' data, as its SQL does."""
     return X.constant_variables(orders_matrix(s, d))
 
 
@@ -112,7 +106,7 @@ def column_correlations(s, d):
 
 
 FUNCS = (
-    metacell_means, cnv_smoothing, cnv_reference_difference, cnv_score, footprint, describe, sankey_flows, clone_ids, position_bits, layer_shares, top_mask, scaled_mad, constant_variables, constant_variables_whole,
+    metacell_means, cnv_smoothing, cnv_reference_difference, cnv_score, footprint, describe, sankey_flows, clone_ids, position_bits, layer_shares, top_mask, scaled_mad, constant_variables,
     ambient_profile, potency_bins, rasterize, marker_filter, column_correlations,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
@@ -123,7 +117,7 @@ from sparmat.plans.q_matrix import M  # noqa: E402
 
 _P = M + ", n AS (SELECT grp, count(*) AS n FROM o GROUP BY 1), pr AS (SELECT grp, var_id, brand, sum(v) / max(n.n) AS value FROM m JOIN o USING (obs_id) JOIN n USING (grp) JOIN p USING (var_id) GROUP BY 1, 2, 3)"
 ORACLE = {
-    "metacell_means": """WITH a AS (SELECT o_orderkey AS obs_id, o_custkey % 12 AS metacell FROM orders), n AS (SELECT metacell, count(*) AS n FROM a GROUP BY 1)
+    "metacell_means": """WITH a AS (SELECT o_orderkey AS obs_id, o_custkey AS metacell FROM orders), n AS (SELECT metacell, count(*) AS n FROM a GROUP BY 1)
 SELECT metacell, l_partkey AS var_id, round(sum(l_quantity) / max(n), 6) AS value FROM lineitem JOIN a ON obs_id = l_orderkey JOIN n USING (metacell) GROUP BY 1, 2""",
     "cnv_smoothing": _P + "SELECT grp, var_id, round(avg(greatest(-0.2, least(0.2, value))) OVER (PARTITION BY grp, brand ORDER BY var_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS smoothed FROM pr",
     "cnv_reference_difference": _P
@@ -136,7 +130,7 @@ SELECT sample, "offset", count(*) AS n FROM h WHERE abs("offset") <= 250 GROUP B
     "describe": """SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(min(o_totalprice), 4) AS min,
  round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, round(max(o_totalprice), 4) AS max FROM orders GROUP BY 1, 2""",
     "sankey_flows": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2",
-    "clone_ids": """WITH f AS (SELECT o_custkey % 9 AS patient, o_custkey % 40 AS clone, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) SELECT patient, clone, row_number() OVER (PARTITION BY patient ORDER BY k, clone) AS ordinal FROM f""",
+    "clone_ids": """WITH f AS (SELECT c_nationkey AS patient, o_custkey AS clone, min(o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT patient, clone, row_number() OVER (PARTITION BY patient ORDER BY k, clone) AS ordinal FROM f""",
     "position_bits": """WITH b AS (SELECT regexp_extract(upper(barcode), '(^|[^ACGT])([ACGT]{16})([^ACGT]|$)', 2) AS seq FROM fragment), l AS (SELECT p AS position, seq[p + 1] AS letter, count(*) AS c FROM b, range(16) t(p) WHERE seq <> '' GROUP BY ALL),
 s AS (SELECT *, c / sum(c) OVER (PARTITION BY position) AS share FROM l)
 SELECT position, letter, round(share, 6) AS share, round(share * (2 + sum(share * log2(share)) OVER (PARTITION BY position)), 6) AS bits FROM s""",
@@ -144,9 +138,7 @@ SELECT position, letter, round(share, 6) AS share, round(share * (2 + sum(share
     "top_mask": """WITH q AS (SELECT *, min(o_totalprice) OVER w AS a, max(o_totalprice) OVER w AS b, quantile_cont(o_totalprice, 0.9) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_orderpriority))
 SELECT o_orderkey, round(CASE WHEN b > a THEN (o_totalprice - a) / (b - a) ELSE 0 END, 6) AS scaled, o_totalprice >= q AS top FROM q""",
     "scaled_mad": "WITH a AS (SELECT *, median(o_totalprice) OVER (PARTITION BY o_orderpriority) AS m FROM orders) SELECT o_orderpriority, round(median(abs(o_totalprice - m)) / 0.6744897501960817, 3) AS mad FROM a GROUP BY 1",
-    "constant_variables": """WITH m AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS v FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1, 2), s AS (SELECT l_partkey, min(v) AS a, max(v) AS b, count(*) AS k FROM m GROUP BY 1)
-SELECT p_partkey AS var_id FROM part LEFT JOIN s ON l_partkey = p_partkey WHERE k IS NULL OR (a = b AND (k = (SELECT count(*) FROM orders) OR a = 0))""",
-    "constant_variables_whole": """WITH m AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT l_partkey, min(v) AS a, max(v) AS b, count(*) AS k FROM m GROUP BY 1)
+    "constant_variables": """WITH m AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT l_partkey, min(v) AS a, max(v) AS b, count(*) AS k FROM m GROUP BY 1)
 SELECT p_partkey AS var_id FROM part LEFT JOIN s ON l_partkey = p_partkey WHERE k IS NULL OR (a = b AND (k = (SELECT count(*) FROM orders) OR a = 0))""",
     "ambient_profile": M + ", t AS (SELECT obs_id FROM m GROUP BY 1 HAVING sum(v) > 0 AND sum(v) < 100) SELECT var_id, round(sum(v) / sum(sum(v)) OVER (), 9) AS share FROM m WHERE obs_id IN (SELECT obs_id FROM t) GROUP BY 1",
     "potency_bins": "SELECT l_orderkey, l_linenumber, least(4, " + " + ".join(f"CASE WHEN l_discount >= {e} THEN 1 ELSE 0 END" for e in (0.02, 0.04, 0.06, 0.08, 0.11)) + ") AS bin FROM lineitem",

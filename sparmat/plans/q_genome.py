@@ -110,14 +110,14 @@ def union_length(s, d):
 
 
 def reproducible_peaks(s, d):
-    p = _peaks(s, d)
-    of = lambda n: p.where(F.col("call_set") == f"cs{n:06d}")
-    n = F.substring("call_set", 3, 6).cast("int")
-    return G.reproducible(of(3), [p.where(n % 2 == 0), p.where((n % 2 == 1) & (n != 3))], of(5).where("end - start < 500"), "pid").select("pid")
+    """Peaks that meet a gene of either strand (two replicates) and none of unknown strand (the blacklist)."""
+    g = _genes(s, d)
+    of = lambda c: g.where(c).select("chr", "start", "end")
+    return G.reproducible(_peaks(s, d), [of("strand = '+'"), of("strand = '-'")], of("strand IS NULL"), "pid").select("pid")
 
 
-def reproducible_peaks_whole(s, d):
-    """The peaks of all call sets, each against every other call set as a replicate; reproducible_peaks has one call set, as its SQL does."""
+def peaks_in_sets(s, d):
+    """The peaks of all call sets, each against every other call set as a replicate."""
     return G.sets_overlapped(scratch_table(_peaks(s, d).where("call_set IS NOT NULL"), "peaks"), "pid", "call_set")
 
 
@@ -194,7 +194,7 @@ def region_gene_links(s, d):
 
 FUNCS = (
     genome_offset, genome_locus, tile_insertion, tile_fragment, tile_paired, peak_matrix, peak_matrix_insertion, peak_matrix_paired, gene_activity, frip, fragment_qc, size_histogram,
-    chrom_summary, tss_profile, tss_enrichment, nearest_tss, priority_overlay, union_length, reproducible_peaks, reproducible_peaks_whole, coverage, coverage_bpm, coverage_cpm, coverage_smooth, threshold_peaks,
+    chrom_summary, tss_profile, tss_enrichment, nearest_tss, priority_overlay, union_length, reproducible_peaks, peaks_in_sets, coverage, coverage_bpm, coverage_cpm, coverage_smooth, threshold_peaks,
     merge_peaks, base_ratio, contacts, unique_reads, flag_counts, sequence_ops, motif_scan, region_gene_links,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
@@ -253,10 +253,9 @@ SELECT pid, CASE pr WHEN 2 THEN 'promoter' WHEN 1 THEN 'genebody' ELSE 'intergen
     + """, m AS (SELECT chr, s, e, max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM pp)
 SELECT chr, CAST(sum(greatest(0, e - greatest(s, coalesce(p, s)))) AS BIGINT) AS total FROM m GROUP BY 1""",
     "reproducible_peaks": B
-    + """SELECT pid FROM pk a WHERE call_set = 'cs000003' AND EXISTS (SELECT 1 FROM pk b WHERE CAST(b.call_set[3:] AS INT) % 2 = 0 AND a.chr = b.chr AND a.s < b.e AND b.s < a.e)
- AND EXISTS (SELECT 1 FROM pk b WHERE CAST(b.call_set[3:] AS INT) % 2 = 1 AND b.call_set <> 'cs000003' AND a.chr = b.chr AND a.s < b.e AND b.s < a.e)
- AND NOT EXISTS (SELECT 1 FROM pk b WHERE b.call_set = 'cs000005' AND b.e - b.s < 500 AND a.chr = b.chr AND a.s < b.e AND b.s < a.e)""",
-    "reproducible_peaks_whole": B
+    + """, h AS (SELECT pid, g.strand FROM pk a JOIN (SELECT chr, s, e, coalesce(strand, '?') AS strand FROM ge) g ON a.chr = g.chr AND a.s < g.e AND g.s < a.e)
+SELECT pid FROM h GROUP BY 1 HAVING bool_or(strand = '+') AND bool_or(strand = '-') AND NOT bool_or(strand = '?')""",
+    "peaks_in_sets": B
     + """, n AS (SELECT a.pid, count(DISTINCT b.call_set) AS n FROM pk a JOIN pk b ON a.call_set <> b.call_set AND a.chr = b.chr AND a.s < b.e AND b.s < a.e GROUP BY 1)
 SELECT pid, coalesce(n, 0) AS sets, coalesce(n, 0) = (SELECT count(DISTINCT call_set) - 1 FROM pk) AS every FROM pk LEFT JOIN n USING (pid) WHERE call_set IS NOT NULL""",
     "coverage": _COV + "SELECT * FROM cv",

@@ -14,110 +14,64 @@ def _r(df, *cols, n=6):
     return df.select(*[F.round(c, n).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _edges(s, d):
-    """Customer -> supplier edges with a source: the return flag of the line."""
-    l, o = table(s, d, "lineitem"), table(s, d, "orders")  # noqa: E741
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % 40).alias("src"), (F.col("l_suppkey") % 60).alias("dst"), F.col("l_returnflag").alias("source"))
-
-
 def _weights(s):
     return s.createDataFrame([("R", 0.5), ("A", 0.25), ("N", 0.0)], "source string, weight double")
 
 
-def edges_weighted(s, d):
-    return _r(H.weighted_edges(_edges(s, d), _weights(s)), "weight")
-
-
-def hub_correction(s, d):
-    return _r(H.hub_correction(H.weighted_edges(_edges(s, d), _weights(s)), 0.5), "weight")
-
-
-def _graph(s, d):
-    return H.weighted_edges(_edges(s, d), _weights(s)).where("src <> dst")
-
-
-def pagerank(s, d):
-    seeds = s.createDataFrame([(3, 1.0), (8, 3.0)], "node bigint, weight double")
-    return _r(H.pagerank(_graph(s, d), seeds, 0.5, 3), "rank")
-
-
-def graph_moments(s, d):
-    return _r(H.smooth_over_graph(_graph(s, d), _node_values(s, d), 1), "value")
-
-
-def graph_diffusion(s, d):
-    return _r(H.smooth_over_graph(_graph(s, d), _node_values(s, d), 3), "value")
-
-
-def _node_values(s, d):
-    return table(s, d, "supplier").groupBy((F.col("s_suppkey") % 60).alias("node")).agg(F.avg("s_acctbal").alias("value"))
-
-
-def neighbour_hops(s, d):
-    g = _graph(s, d).where("weight > 3")
-    return H.hops(g, g.select(F.col("src").alias("node")).distinct(), 2)
-
-
-def label_propagation(s, d):
-    g = _graph(s, d)
-    both = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    return H.label_propagation(both, both.select(F.col("src").alias("node")).distinct(), 2)
-
-
-# The queries above fold customers and suppliers onto 60 ids, as their SQL does; those below are over whole keys.
-def _whole_edges(s, d):
-    """Customer -> supplier edges: every customer a node of its own (even ids), every supplier another (odd ids)."""
+def _edges(s, d):
+    """Customer -> supplier edges, the source is the return flag of the line: every customer is a node (even ids), every supplier another (odd ids)."""
     l, o = table(s, d, "lineitem"), table(s, d, "orders")  # noqa: E741
     e = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"), F.col("l_returnflag").alias("source"))
     return H.weighted_edges(e, _weights(s))
 
 
-def _whole_graph(s, d):
-    """The whole edges in both directions, so that ranks and values pass from either side."""
-    g = _whole_edges(s, d)
+def _graph(s, d):
+    """The edges in both directions, so that ranks and values pass from either side."""
+    g = _edges(s, d)
     return scratch_table(g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "graph")
 
 
-def _whole_values(s, d):
-    """Balances of customers and suppliers."""
-    c = table(s, d, "customer").select((2 * F.col("c_custkey")).alias("node"), F.col("c_acctbal").alias("value"))
-    return c.unionByName(table(s, d, "supplier").select((2 * F.col("s_suppkey") + 1).alias("node"), F.col("s_acctbal").alias("value")))
+def _node_values(s, d):
+    """Logarithms of the balances of customers and suppliers."""
+    v = lambda c: F.log1p(F.abs(c)).alias("value")
+    c = table(s, d, "customer").select((2 * F.col("c_custkey")).alias("node"), v("c_acctbal"))
+    return c.unionByName(table(s, d, "supplier").select((2 * F.col("s_suppkey") + 1).alias("node"), v("s_acctbal")))
 
 
-def edges_weighted_whole(s, d):
-    return _r(_whole_edges(s, d), "weight")
+def edges_weighted(s, d):
+    return _r(_edges(s, d), "weight")
 
 
-def hub_correction_whole(s, d):
-    return _r(H.hub_correction(scratch_table(_whole_edges(s, d), "edges"), 0.5), "weight")
+def hub_correction(s, d):
+    return _r(H.hub_correction(scratch_table(_edges(s, d), "edges"), 0.5), "weight")
 
 
-def pagerank_whole(s, d):
+def pagerank(s, d):
     seeds = s.createDataFrame([(6, 1.0), (16, 3.0)], "node bigint, weight double")
-    return _r(H.pagerank(_whole_graph(s, d), seeds, 0.5, 3), "rank", n=9)
+    return _r(H.pagerank(_graph(s, d), seeds, 0.5, 3), "rank", n=9)
 
 
-def graph_moments_whole(s, d):
-    return _r(H.smooth_over_graph(_whole_graph(s, d), _whole_values(s, d), 1), "value", n=7)
+def graph_moments(s, d):
+    return _r(H.smooth_over_graph(_graph(s, d), _node_values(s, d), 1), "value")
 
 
-def graph_diffusion_whole(s, d):
-    return _r(H.smooth_over_graph(_whole_graph(s, d), _whole_values(s, d), 3), "value", n=4)
+def graph_diffusion(s, d):
+    return _r(H.smooth_over_graph(_graph(s, d), _node_values(s, d), 3), "value")
 
 
-def neighbour_hops_whole(s, d):
+def neighbour_hops(s, d):
     """Along the direction of the edges: both ways, two steps join nearly all pairs of customers."""
-    g = scratch_table(_whole_edges(s, d), "edges")
+    g = scratch_table(_edges(s, d), "edges")
     return H.hops(g, g.select(F.col("src").alias("node")).unionByName(g.select(F.col("dst").alias("node"))).distinct(), 2)
 
 
-def label_propagation_whole(s, d):
-    g = _whole_graph(s, d)
+def label_propagation(s, d):
+    g = _graph(s, d)
     return H.label_propagation(g, g.select(F.col("src").alias("node")).distinct(), 2)
 
 
 def components(s, d):
-    """Parts linked where an order holds two of them with quantities above 49."""
+    """Parts linked where an order holds two of them with quantities above 45."""
     l = table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))  # noqa: E741
     first = l.groupBy("o").agg(F.min("p").alias("src"))
     e = l.join(first, "o").select("src", F.col("p").alias("dst"))
@@ -218,25 +172,18 @@ def simulated_doublets(s, d):
 
 
 FUNCS = (
-    edges_weighted, hub_correction, pagerank, graph_moments, graph_diffusion, neighbour_hops, label_propagation, edges_weighted_whole, hub_correction_whole,
-    pagerank_whole, graph_moments_whole, graph_diffusion_whole, neighbour_hops_whole, label_propagation_whole, components, jaccard_parts, cosine_parts, idf_l2, knn_exact,
+    edges_weighted, hub_correction, pagerank, graph_moments, graph_diffusion, neighbour_hops, label_propagation, components, jaccard_parts, cosine_parts, idf_l2, knn_exact,
     knn_connectivities, knn_transitions, lof, kernel_density, pca, kmeans, nmf, velocity_gamma, velocity_gamma_extreme, moment_dispersions, negative_binomial_fit, simulated_doublets,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
 
-_E = """WITH RECURSIVE w AS (SELECT o_custkey % 40 AS src, l_suppkey % 60 AS dst, sum(CASE l_returnflag WHEN 'R' THEN 0.5 WHEN 'A' THEN 0.25 ELSE 0 END)::DOUBLE AS weight
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING sum(CASE l_returnflag WHEN 'R' THEN 0.5 WHEN 'A' THEN 0.25 ELSE 0 END) > 0),
-g AS (SELECT * FROM w WHERE src <> dst), p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM g),
-nv AS (SELECT s_suppkey % 60 AS node, avg(s_acctbal) AS value FROM supplier GROUP BY 1),
-gl AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM (SELECT * FROM g UNION ALL SELECT node, node, 1.0 FROM nv))
-"""
 _PR = lambda i: f", r{i} AS (SELECT node, sum(rank) AS rank FROM (SELECT dst AS node, 0.5 * rank * weight AS rank FROM r{i - 1} JOIN p ON node = src UNION ALL SELECT node, 0.5 * rank FROM r0) GROUP BY 1)"
 _DF = lambda i: f", d{i} AS (SELECT src AS node, sum(weight * value) AS value FROM gl JOIN {'nv' if i == 1 else f'd{i - 1}'} v ON dst = v.node GROUP BY 1)"
 _LP = lambda i: f""", v{i} AS (SELECT src AS node, arg_min(label, (-w, label)) AS label FROM (SELECT src, label, sum(weight) AS w FROM b JOIN {'v' + str(i - 1)} v ON dst = v.node GROUP BY 1, 2) GROUP BY 1)"""
-_EW = """WITH RECURSIVE w AS (SELECT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst, sum(CASE l_returnflag WHEN 'R' THEN 0.5 WHEN 'A' THEN 0.25 ELSE 0 END)::DOUBLE AS weight
+_E = """WITH RECURSIVE w AS (SELECT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst, sum(CASE l_returnflag WHEN 'R' THEN 0.5 WHEN 'A' THEN 0.25 ELSE 0 END)::DOUBLE AS weight
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING sum(CASE l_returnflag WHEN 'R' THEN 0.5 WHEN 'A' THEN 0.25 ELSE 0 END) > 0),
 b AS (SELECT * FROM w UNION ALL SELECT dst, src, weight FROM w), p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM b),
-nv AS (SELECT 2 * c_custkey AS node, c_acctbal AS value FROM customer UNION ALL SELECT 2 * s_suppkey + 1, s_acctbal FROM supplier),
+nv AS (SELECT 2 * c_custkey AS node, ln(1 + abs(c_acctbal)) AS value FROM customer UNION ALL SELECT 2 * s_suppkey + 1, ln(1 + abs(s_acctbal)) FROM supplier),
 gl AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM (SELECT * FROM b UNION ALL SELECT node, node, 1.0 FROM nv))
 """
 _K = """WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS dist FROM q a, q b WHERE a.id <> b.id AND a.id % 50 = 0),
@@ -246,21 +193,15 @@ _ORD = "WITH m AS (SELECT l_orderkey AS obs_id, l_partkey AS var_id, sum(l_quant
 ORACLE = {
     "edges_weighted": _E + "SELECT src, dst, round(weight, 6) AS weight FROM w",
     "hub_correction": _E + "SELECT src, dst, round(weight / sqrt(count(*) OVER (PARTITION BY dst)), 6) AS weight FROM w",
-    "pagerank": _E + ", r0 AS (SELECT * FROM (VALUES (3, 0.25::DOUBLE), (8, 0.75::DOUBLE)) t(node, rank))" + _PR(1) + _PR(2) + _PR(3) + "SELECT node, round(rank, 6) AS rank FROM r3",
+    "pagerank": _E + ", r0 AS (SELECT * FROM (VALUES (6, 0.25::DOUBLE), (16, 0.75::DOUBLE)) t(node, rank))" + _PR(1) + _PR(2) + _PR(3) + "SELECT node, round(rank, 9) AS rank FROM r3",
     "graph_moments": _E + _DF(1) + "SELECT node, round(value, 6) AS value FROM d1",
     "graph_diffusion": _E + _DF(1) + _DF(2) + _DF(3) + "SELECT node, round(value, 6) AS value FROM d3",
-    "neighbour_hops": _E
-    + """, h AS (SELECT src, dst FROM g WHERE weight > 3), z AS (SELECT DISTINCT src AS node, src AS reached FROM h), y AS (SELECT * FROM z UNION SELECT src, dst FROM h)
-SELECT * FROM y UNION SELECT y.node, h.dst FROM y JOIN h ON y.reached = h.src""",
-    "label_propagation": _E
-    + ", b AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM g UNION ALL SELECT dst, src, weight FROM g) GROUP BY 1, 2), v0 AS (SELECT DISTINCT src AS node, src AS label FROM b)"
-    + _LP(1) + _LP(2) + "SELECT node, label FROM v2",
-    "edges_weighted_whole": _EW + "SELECT src, dst, round(weight, 6) AS weight FROM w",
-    "hub_correction_whole": _EW + "SELECT src, dst, round(weight / sqrt(count(*) OVER (PARTITION BY dst)), 6) AS weight FROM w",
-    "pagerank_whole": _EW + ", r0 AS (SELECT * FROM (VALUES (6, 0.25::DOUBLE), (16, 0.75::DOUBLE)) t(node, rank))" + _PR(1) + _PR(2) + _PR(3) + "SELECT node, round(rank, 9) AS rank FROM r3",
-    "graph_diffusion_whole": _EW + _DF(1) + _DF(2) + _DF(3) + "SELECT node, round(value, 4) AS value FROM d3",
-    "neighbour_hops_whole": _EW + "SELECT src AS node, src AS reached FROM b UNION SELECT src, dst FROM w",
-    "label_propagation_whole": _EW + ", v0 AS (SELECT DISTINCT src AS node, src AS label FROM b)" + _LP(1) + _LP(2) + "SELECT node, label FROM v2",
+    "neighbour_hops": _E + "SELECT src AS node, src AS reached FROM b UNION SELECT src, dst FROM w",
+    "label_propagation": _E + ", v0 AS (SELECT DISTINCT src AS node, src AS label FROM b)" + _LP(1) + _LP(2) + "SELECT node, label FROM v2",
+    "components": """WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity > 45), f AS (SELECT o, min(p) AS m FROM l GROUP BY 1),
+e AS (SELECT DISTINCT m AS a, p AS b FROM l JOIN f USING (o) WHERE m <> p), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, reached) AS (SELECT p, p FROM (SELECT DISTINCT p FROM l) UNION SELECT r.node, b.b FROM r JOIN b ON r.reached = b.a)
+SELECT node, min(reached) AS component FROM r GROUP BY 1""",
     "jaccard_parts": """WITH e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem), n AS (SELECT p, count(*) AS n FROM e GROUP BY 1), s AS (SELECT x.p AS a, y.p AS b, count(*) AS shared FROM e x JOIN e y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT a, b, shared, round(shared / (u.n + v.n - shared), 6) AS jaccard FROM s JOIN n u ON u.p = a JOIN n v ON v.p = b""",
     "cosine_parts": _ORD

@@ -132,8 +132,8 @@ def markers(s, d):
 
 
 def _clones(s, d):
-    """Customers as clones over the priorities of their orders; every seventh order has no clone."""
-    return table(s, d, "orders").select(F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 50).alias("clone"), F.col("o_orderpriority").alias("cluster"), F.col("o_orderstatus").alias("sample"), "o_orderkey")
+    """Customers as clones over the priorities of their orders; orders still pending have no clone."""
+    return table(s, d, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("clone"), F.col("o_orderpriority").alias("cluster"), F.col("o_orderstatus").alias("sample"), "o_orderkey")
 
 
 def clone_size(s, d):
@@ -160,19 +160,6 @@ def clone_pairwise(s, d):
     return _r(A.pairwise_transition(clone_matrix(s, d), "clone", "cluster", "1-URGENT"), "transition")
 
 
-def _whole_clones(s, d):
-    """As _clones, every customer a clone of its own."""
-    return table(s, d, "orders").select(F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("clone"), F.col("o_orderpriority").alias("cluster"), F.col("o_orderstatus").alias("sample"), "o_orderkey")
-
-
-def clone_size_whole(s, d):
-    return _r(A.clone_size(_whole_clones(s, d), "clone", "sample", 20).select("o_orderkey", "clone_size", "expanded", "relative_size"), "relative_size")
-
-
-def clone_matrix_whole(s, d):
-    return A.clone_matrix(_whole_clones(s, d), "clone", "cluster")
-
-
 def auroc(s, d):
     return _r(A.auroc(table(s, d, "lineitem").select("l_extendedprice", (F.col("l_returnflag") == "R").alias("y")), "l_extendedprice", "y"), "auroc", "average_precision")
 
@@ -180,7 +167,7 @@ def auroc(s, d):
 FUNCS = (
     pseudobulk, pseudobulk_quantiles, aggregate_var, aggregate_block, grouped_rates, summary_cube, crosstab_columns, crosstab_index, crosstab_all, attached_mode, qc_metrics,
     outliers_mad, outliers_tukey, normalize_total, log1p_layer, clr, zscore, normalize_row, normalize_column, hvg_binned, hvg_top_n, stable_variables, top_accessible, size_factors,
-    markers, clone_size, clone_matrix, clone_expansion, clone_plasticity, clone_transition, clone_pairwise, clone_size_whole, clone_matrix_whole, auroc,
+    markers, clone_size, clone_matrix, clone_expansion, clone_plasticity, clone_transition, clone_pairwise, auroc,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
 
@@ -189,7 +176,7 @@ o AS (SELECT o_orderkey AS obs_id, o_orderpriority AS grp, o_orderstatus AS stat
 p AS (SELECT p_partkey AS var_id, p_brand AS brand, p_type AS type, p_size AS size FROM part),
 nobs AS (SELECT count(*) AS n FROM o), nvar AS (SELECT count(*) AS n FROM p)
 """
-_C = """WITH c AS (SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_custkey % 50 END AS clone, o_orderpriority AS cluster, o_orderstatus AS sample, o_orderkey FROM orders),
+_C = """WITH c AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS clone, o_orderpriority AS cluster, o_orderstatus AS sample, o_orderkey FROM orders),
 k AS (SELECT clone, cluster, count(*) AS n FROM c WHERE clone IS NOT NULL GROUP BY 1, 2)
 """
 _X = "WITH c AS (SELECT n_name AS nation, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT nation, c_mktsegment, count(*) AS n, round(count(*) / {}, 6) AS share FROM c GROUP BY 1, 2"
@@ -253,7 +240,7 @@ SELECT grp, var_id, round(m1, 6) AS mean_in, round(m2, 6) AS mean_out, round(CAS
  round(log2((m1 + 1e-9) / (m2 + 1e-9)), 6) AS lfc, round(d / n1, 6) AS pct, round((td - d) / n2, 6) AS pct_reference FROM y""",
     "clone_size": _C
     + """, a AS (SELECT clone, count(*) AS s FROM c WHERE clone IS NOT NULL GROUP BY 1)
-SELECT o_orderkey, coalesce(s, 0) AS clone_size, coalesce(s, 0) > 20 AS expanded, round(coalesce(s, 0) / count(clone) OVER (PARTITION BY sample), 6) AS relative_size FROM c LEFT JOIN a USING (clone)""",
+SELECT o_orderkey, coalesce(s, 0) AS clone_size, coalesce(s, 0) > 20 AS expanded, round(coalesce(coalesce(s, 0) / nullif(count(clone) OVER (PARTITION BY sample), 0), 0), 6) AS relative_size FROM c LEFT JOIN a USING (clone)""",
     "clone_matrix": _C + "SELECT * FROM k",
     "clone_expansion": _C
     + """, t AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster) AS p FROM k)
@@ -261,7 +248,7 @@ SELECT cluster, round(CASE WHEN sum(n) < 5 OR count(*) < 2 THEN 0 ELSE 1 + sum(p
     "clone_plasticity": _C
     + """, s AS (SELECT clone, cluster AS other, n / sum(n) OVER (PARTITION BY clone) AS p FROM k),
 e AS (SELECT k.cluster, other, sum(p) AS p FROM k JOIN s USING (clone) GROUP BY 1, 2), f AS (SELECT cluster, p / sum(p) OVER (PARTITION BY cluster) AS p FROM e)
-SELECT cluster, round(-sum(p * log2(p)), 6) AS plasticity FROM f GROUP BY 1""",
+SELECT cluster, round(CASE WHEN (SELECT sum(n) FROM k WHERE k.cluster = f.cluster) < 5 THEN 0 ELSE -sum(p * log2(p)) END, 6) AS plasticity FROM f GROUP BY 1""",
     "clone_transition": _C + ", t AS (SELECT clone, n / sum(n) OVER (PARTITION BY clone) AS p FROM k) SELECT clone, round(-sum(p * log2(p)), 6) AS transition FROM t GROUP BY 1",
     "clone_pairwise": _C
     + """, b AS (SELECT clone, n AS a FROM k WHERE cluster = '1-URGENT'), q AS (SELECT DISTINCT cluster FROM k WHERE cluster <> '1-URGENT'),
@@ -278,4 +265,3 @@ h AS (SELECT var_id, round(mean, 6) AS mean, round(disp, 6) AS disp, bin, round(
 """
 ORACLE["hvg_binned"] = _HVG + "SELECT * FROM h"
 ORACLE["hvg_top_n"] = _HVG + "SELECT var_id, disp_norm FROM h ORDER BY disp_norm DESC, var_id LIMIT 20"
-ORACLE |= {f"{n}_whole": ORACLE[n].replace("o_custkey % 50", "o_custkey") for n in ("clone_size", "clone_matrix")}

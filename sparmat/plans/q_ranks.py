@@ -19,7 +19,7 @@ def _r(df, *cols, n=6):
 
 
 def _sets(m):
-    return m.var.where(F.col("brand").isin("Brand#11", "Brand#22", "Brand#33")).select(F.col("brand").alias("set"), "var_id", (1.0 + F.col("size") % 3).alias("weight"))
+    return m.var.select(F.col("brand").alias("set"), "var_id", (1.0 + F.col("size") % 3).alias("weight"))
 
 
 def rankings(s, d):
@@ -117,8 +117,8 @@ def expression_entropy(s, d):
 
 
 def _resource(m):
-    """Every tenth part as a ligand of the part eleven further on."""
-    return m.var.where("var_id % 10 = 0").select(F.col("var_id").alias("ligand"), (F.col("var_id") + 11).alias("receptor"))
+    """Every part as a ligand of the part eleven further on."""
+    return m.var.select(F.col("var_id").alias("ligand"), (F.col("var_id") + 11).alias("receptor"))
 
 
 SCORES = ("cellchat", "cpdb", "connectome", "connectome_z", "geomean", "logfc", "natmi", "natmi_spec", "sca", "scseqcomm")
@@ -161,7 +161,7 @@ def lr_topn(s, d):
 def lr_complex_min(s, d):
     m = orders_matrix(s, d)
     st = A.pseudobulk(m, "status").select("status", "var_id", F.col("mean_v").alias("mean"), (F.col("n_detected") / F.col("n_obs")).alias("prop"))
-    c = m.var.where("var_id % 10 = 0").select(F.concat_ws("_", F.col("var_id").cast("string"), (F.col("var_id") + 1).cast("string")).alias("complex"))
+    c = m.var.select(F.concat_ws("_", F.col("var_id").cast("string"), (F.col("var_id") + 1).cast("string")).alias("complex"))
     return _r(L.complex_minimum(L.explode_complexes(c, "complex"), ["complex"], "complex", st, "status"), "mean", "prop")
 
 
@@ -178,7 +178,7 @@ QUERIES = {f.__name__: f for f in FUNCS}
 
 from sparmat.plans.q_matrix import M  # noqa: E402
 
-_T = M + """, sg AS (SELECT brand AS "set", var_id, 1.0 + size % 3 AS weight FROM p WHERE brand IN ('Brand#11', 'Brand#22', 'Brand#33')),
+_T = M + """, sg AS (SELECT brand AS "set", var_id, 1.0 + size % 3 AS weight FROM p),
 rk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY v DESC, var_id) - 1 AS rank FROM m),
 sw AS (SELECT "set", sum(weight) AS w FROM sg GROUP BY 1),
 au AS (SELECT obs_id, "set", sum(weight * (5 - rank)) / (5 * max(w)) AS auc FROM rk JOIN sg USING (var_id) JOIN sw USING ("set") WHERE rank < 5 GROUP BY 1, 2)
@@ -198,14 +198,14 @@ st AS (SELECT status, var_id, s / n AS mean, d / n AS prop, sqrt(greatest(0, q /
 sm AS (SELECT var_id, sum(mean) AS s FROM st GROUP BY 1), g AS (SELECT (SELECT sum(v) FROM m) / ((SELECT n FROM nobs) * (SELECT n FROM nvar)) AS mu, (SELECT max(v) FROM m) AS top),
 j AS (SELECT a.status AS source, b.status AS target, a.var_id AS ligand, b.var_id AS receptor, a.mean AS l_mean, b.mean AS r_mean, a.sd AS l_sd, b.sd AS r_sd, a.n AS l_n, b.n AS r_n,
   a.tri / top * b.tri / top AS tt, a.zz AS l_z, b.zz AS r_z, a.lfc AS l_lfc, b.lfc AS r_lfc, x.s AS l_sum, y.s AS r_sum, mu
-  FROM p JOIN st a ON a.var_id = p.var_id AND p.var_id % 10 = 0 JOIN st b ON b.var_id = p.var_id + 11 JOIN sm x ON x.var_id = a.var_id JOIN sm y ON y.var_id = b.var_id, g),
+  FROM p JOIN st a ON a.var_id = p.var_id JOIN st b ON b.var_id = p.var_id + 11 JOIN sm x ON x.var_id = a.var_id JOIN sm y ON y.var_id = b.var_id, g),
 lr AS (SELECT source, target, ligand, receptor, tt / (0.5 + tt) AS cellchat, CASE WHEN l_mean = 0 OR r_mean = 0 THEN 0 ELSE (l_mean + r_mean) / 2 END AS cpdb, l_mean * r_mean AS connectome,
   (l_z + r_z) / 2 AS connectome_z, sqrt(l_mean * r_mean) AS geomean, (l_lfc + r_lfc) / 2 AS logfc, l_mean * r_mean AS natmi, (l_mean / l_sum) * (r_mean / r_sum) AS natmi_spec,
   sqrt(l_mean) * sqrt(r_mean) / (sqrt(l_mean) * sqrt(r_mean) + mu) AS sca, least({_CDF('l')}, {_CDF('r')}) AS scseqcomm FROM j)
 """
-_RANK = _LR + ", rr AS (SELECT source, target, ligand, receptor, " + ", ".join(
-    f"(rank() OVER (ORDER BY round({c}, 9) DESC) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2) / count(*) OVER () AS r{i}" for i, c in enumerate(("cpdb", "natmi_spec", "logfc", "sca"))
-) + " FROM lr) "
+_RANK = _LR + ", r1 AS (SELECT source, target, ligand, receptor, " + ", ".join(
+    f"rank() OVER (ORDER BY round({c}, 9) DESC) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2 AS r{i}" for i, c in enumerate(("cpdb", "natmi_spec", "logfc", "sca"))
+) + " FROM lr), rr AS (SELECT source, target, ligand, receptor, " + ", ".join(f"r{i} / max(r{i}) OVER () AS r{i}" for i in range(4)) + " FROM r1) "
 ORACLE = {
     "rankings": _T + "SELECT obs_id, var_id, v AS value, rank FROM rk",
     "aucell": _T + 'SELECT obs_id, "set", round(auc, 6) AS auc FROM au',
@@ -267,5 +267,5 @@ SELECT source, target, ligand, receptor, round(least(1, 4 * least(1 - (1 - r[1])
     "lr_topn": _LR + "SELECT ligand, receptor, max(round(geomean, 9)) AS best FROM lr GROUP BY 1, 2 ORDER BY best DESC, ligand LIMIT 15",
     "lr_complex_min": M
     + """, n AS (SELECT status, count(*) AS n FROM o GROUP BY 1), st AS (SELECT status, var_id, sum(v) / max(n.n) AS mean, count(*) / max(n.n) AS prop FROM m JOIN o USING (obs_id) JOIN n USING (status) GROUP BY 1, 2)
-SELECT a.var_id || '_' || b.var_id AS complex, a.status, round(least(a.mean, b.mean), 6) AS mean, round(least(a.prop, b.prop), 6) AS prop FROM st a JOIN st b ON b.var_id = a.var_id + 1 AND a.status = b.status WHERE a.var_id % 10 = 0""",
+SELECT a.var_id || '_' || b.var_id AS complex, a.status, round(least(a.mean, b.mean), 6) AS mean, round(least(a.prop, b.prop), 6) AS prop FROM st a JOIN st b ON b.var_id = a.var_id + 1 AND a.status = b.status""",
 }

@@ -75,6 +75,6 @@ def test_constant_variables_over_all_entries(spark):
     m = Matrix(e, spark.createDataFrame([(1,), (2,)], "obs_id int"), spark.createDataFrame([(v,) for v in (3, 4, 6, 7, 9)], "var_id int"))
     orders, Q.orders_matrix = Q.orders_matrix, lambda s, d: m
     try:
-        assert sorted(r.var_id for r in Q.constant_variables_whole(spark, "").collect()) == [4, 7, 9]
+        assert sorted(r.var_id for r in Q.constant_variables(spark, "").collect()) == [4, 7, 9]
     finally:
         Q.orders_matrix = orders
