@@ -145,7 +145,7 @@ def fit_tree(points: DataFrame, dim: int, sample_rows: int = 50_000, leaf_rows:
 
 @dataclass
 class Index:
-    """rows: (id, vec, leaf, sub, blocks, block); tree: broadcast first level; subs: (leaf, n, normals, offsets, kids, leaves) of the
+    """rows: (id, vec, leaf, sub, blocks, block); sizes: (leaf, sub, blocks), one row a bin; tree: broadcast first level; subs: (leaf, n, normals, offsets, kids, leaves) of the
     crowded leaves, or None; chunk: rows or queries that meet a subtree in one task."""
 
     rows: DataFrame
@@ -153,6 +153,7 @@ class Index:
     subs: DataFrame | None
     dim: int
     chunk: int = 20_000
+    sizes: DataFrame | None = None
 
 
 _SUB = "leaf bigint, n bigint, normals array<double>, offsets array<double>, kids array<bigint>, leaves bigint"
@@ -224,8 +225,9 @@ def index(points: DataFrame, tree: Tree, dim: int, leaf_rows: int = 3000, crowd_
     routed = _through_subtrees(ix, rows, None, 0.0).drop("place")
     if ix.subs is not None:
         routed = scratch_table(routed, "bins")
-    sizes = routed.groupBy("leaf", "sub").agg(F.ceil(F.count(F.lit(1)) / crowd_rows).alias("blocks"))
-    ix.rows = routed.join(sizes, ["leaf", "sub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # written: its size is known then, and Spark broadcasts it only below its threshold
+    ix.sizes = scratch_table(routed.groupBy("leaf", "sub").agg(F.ceil(F.count(F.lit(1)) / crowd_rows).alias("blocks")), "bin-sizes")
+    ix.rows = routed.join(ix.sizes, ["leaf", "sub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     return ix
 
 
@@ -263,12 +265,11 @@ def search(ix: Index, queries: DataFrame, k: int, most: int, sub_most: int, leas
     dim = ix.dim
     reach = float(np.sqrt(max(0.0, 2 - 2 * least_cos))) + 1e-5 if least_cos is not None else float("inf")
     floor = least_cos if least_cos is not None else -2.0
-    blocks = ix.rows.select("leaf", "sub", "blocks").distinct()  # one row per bin
     parts = F.ceil(F.col("blocks") / 8)  # the queries of a crowded bin are cut into parts too
     zero = F.lit(0).cast("bigint")
     sent = (
         _sent(ix, queries, most, sub_most, reach)
-        .join(blocks, ["leaf", "sub"])
+        .join(ix.sizes, ["leaf", "sub"])
         .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
         .select("leaf", "sub", "block", F.pmod(F.xxhash64("id"), parts).alias("part"), "id", "vec")
     )
