@@ -81,32 +81,3 @@ def complex_minimum(units: DataFrame, keys: list[str], complex_col: str, unit_st
     s = u.join(unit_stats.select(F.col("var_id").cast("string").alias(f"{complex_col}_unit"), by, "mean", "prop"), f"{complex_col}_unit")
     g = s.groupBy(complex_col, by).agg(F.min("mean").alias("mean"), F.min("prop").alias("prop"), F.count(F.lit(1)).alias("_c"))
     return g.join(size, complex_col).where("_c = _k").drop("_c", "_k")
-
-
-def permutation_p(m: Matrix, by: str, resource: DataFrame, n_perms: int, seed: int = 1) -> DataFrame:
-    """(source, target, ligand, receptor, lr_mean, p): share of ``n_perms`` shuffles with (L + R) / 2 at least as large.
-
-    A shuffle draws each observation's group from the groups' shares by a hash of (observation, shuffle): no
-    global sort per shuffle, the same for every run. Only group sums per shuffle are kept.
-    """
-    used = resource.select(F.col("ligand").alias("var_id")).unionByName(resource.select(F.col("receptor").alias("var_id"))).distinct()
-    e = m.entries.join(used, "var_id", "left_semi")
-    n = m.obs.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    shares = n.agg(F.array_sort(F.collect_list(F.struct(F.col(by), F.col("n")))).alias("g"))  # one entry a group
-    o = m.obs.select("obs_id", F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm")).withColumn("_g", shares.scalar())
-    total = F.aggregate("_g", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    o = o.withColumn("_u", F.pmod(F.xxhash64("obs_id", "perm", F.lit(seed)), total))
-    start = F.struct(F.col("_u").alias("left"), F.lit(None).cast("string").alias("pick"))
-    pick = F.aggregate("_g", start, lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when(a["pick"].isNull() & (a["left"] < x["n"]), x[by]).otherwise(a["pick"]).alias("pick")))
-    o = o.select("obs_id", "perm", pick["pick"].alias("grp"))
-    real = m.obs.select("obs_id", F.lit(0).alias("perm"), F.col(by).alias("grp"))
-    lab = o.unionByName(real)
-    size = lab.groupBy("perm", "grp").agg(F.count(F.lit(1)).alias("n"))
-    mean = e.join(lab, "obs_id").groupBy("perm", "grp", "var_id").agg(F.sum("value").alias("s")).join(size, ["perm", "grp"]).select("perm", "grp", "var_id", (F.col("s") / F.col("n")).alias("mean"))
-    lig = mean.select("perm", F.col("grp").alias("source"), F.col("var_id").alias("ligand"), F.col("mean").alias("lm"))
-    rec = mean.select("perm", F.col("grp").alias("target"), F.col("var_id").alias("receptor"), F.col("mean").alias("rm"))
-    v = resource.distinct().join(lig, "ligand").join(rec, ["receptor", "perm"]).withColumn("v", (F.col("lm") + F.col("rm")) / 2)
-    key = ["source", "target", "ligand", "receptor"]
-    truth = v.where("perm = 0").select(*key, F.col("v").alias("lr_mean"))
-    above = v.where("perm > 0").join(truth, key).groupBy(*key).agg(F.count(F.when(F.col("v") >= F.col("lr_mean"), 1)).alias("k"))
-    return truth.join(above, key, "left").select(*key, "lr_mean", (F.coalesce("k", F.lit(0)) / n_perms).alias("p"))

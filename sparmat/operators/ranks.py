@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sparmat.functions.stats import binomial_tail, chi2_tail, correlation, ln_choose
 from sparmat.model import Matrix
-from sparmat.session import running_totals, scratch_table
+from sparmat.session import ranked, running_totals, scratch_table
 
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -39,30 +39,41 @@ def enrichment_scores(auc: DataFrame, n_obs: Column) -> DataFrame:
     return auc.join(s, "set").select("obs_id", "set", F.when(sd > 0, (F.col("auc") - mean) / sd).otherwise(0.0).alias("nes"))
 
 
+def _hit_sums(h: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Running sums after (``up``) and before (``down``) each hit: rows (keys, set, var_id, rank, score, n) of the members of the sets.
+
+    Only hits matter: the misses before one are its rank less the hits so far. Windows run per key and set over its members.
+    """
+    part = Window.partitionBy(*keys, "set")
+    w = part.orderBy("rank")
+    h = h.withColumns({"_c": F.sum(F.abs(score)).over(w.rowsBetween(*UP_TO)), "_i": F.row_number().over(w), "_k": F.count(F.lit(1)).over(part), "_t": F.sum(F.abs(score)).over(part)})
+    miss = F.coalesce(F.try_divide(F.col("rank") - F.col("_i"), F.col("n") - F.col("_k")), F.lit(0.0))
+    share = lambda c: F.coalesce(F.try_divide(c, "_t"), F.lit(0.0))
+    return h.select(*keys, "set", "var_id", "rank", (share(F.col("_c")) - miss).alias("up"), (share(F.col("_c") - F.abs(score)) - miss).alias("down"))
+
+
+def _extremes(e: DataFrame, keys: Sequence[str]) -> DataFrame:
+    x = e.groupBy(*keys, "set").agg(F.max(F.struct("up", -F.col("rank"))).alias("hi"), F.min(F.struct("down", "rank")).alias("lo"))
+    pos = F.col("hi.up") >= -F.col("lo.down")
+    return x.select(*keys, "set", F.when(pos, F.col("hi.up")).otherwise(F.col("lo.down")).alias("es"), F.when(pos, -F.col("hi.col2")).otherwise(F.col("lo.rank")).alias("at"), pos.alias("pos"))
+
+
+def es_of_hits(h: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """(keys, set, es, at, pos): enrichment scores from the ranked members of the sets."""
+    return _extremes(_hit_sums(h, keys, score), keys)
+
+
 def running_enrichment(scored: DataFrame, signature: DataFrame, by: str, score: str) -> DataFrame:
     """Running-sum enrichment per (by, set): es, rank of the extreme, and the leading edge as a sorted array.
 
     Variables are ordered by falling score (ties by variable). A hit adds |score| / its total, a miss takes away
     1 / (N - hits); a set of all variables has no misses, one whose scores are all 0 no hits.
     """
-    sets = signature.select("set").distinct()
-    n = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by).orderBy(F.col(score).desc(), "var_id")
-    r = scored.select(by, "var_id", score, F.row_number().over(w).alias("rank"))
-    # only hits matter: misses before a hit are rank - hits so far
-    h = r.join(signature.select("set", "var_id"), "var_id")
-    tot = h.groupBy(by, "set").agg(F.count(F.lit(1)).alias("k"), F.sum(F.abs(score)).alias("t")).join(n, by)
-    wh = Window.partitionBy(by, "set").orderBy("rank")
-    h = h.join(tot, [by, "set"]).withColumns({"c": F.sum(F.abs(score)).over(wh.rowsBetween(*UP_TO)), "i": F.row_number().over(wh)})
-    miss = F.coalesce(F.try_divide(F.col("rank") - F.col("i"), F.col("n") - F.col("k")), F.lit(0.0))
-    part = lambda c: F.coalesce(F.try_divide(c, "t"), F.lit(0.0))
-    after, before = part(F.col("c")) - miss, part(F.col("c") - F.abs(score)) - miss
-    e = h.select(by, "set", "var_id", "rank", "k", "n", after.alias("up"), before.alias("down"))
-    x = e.groupBy(by, "set").agg(F.max(F.struct("up", -F.col("rank"))).alias("hi"), F.min(F.struct("down", "rank")).alias("lo"))
-    pos = F.col("hi.up") >= -F.col("lo.down")
-    x = x.select(by, "set", F.when(pos, F.col("hi.up")).otherwise(F.col("lo.down")).alias("es"), F.when(pos, -F.col("hi.col2")).otherwise(F.col("lo.rank")).alias("at"), pos.alias("pos"))
+    r = ranked(scored.select(by, "var_id", score), [by], [F.col(score).desc(), "var_id"], "rank", size="n")
+    e = scratch_table(_hit_sums(r.join(signature.select("set", "var_id").distinct(), "var_id"), [by], score), "hits")
+    x = _extremes(e, [by])
     edge = e.join(x, [by, "set"]).where(F.when(F.col("pos"), F.col("rank") <= F.col("at")).otherwise(F.col("rank") >= F.col("at")))
-    return edge.groupBy(by, "set").agg(F.first("es").alias("es"), F.first("at").alias("at"), F.array_sort(F.collect_list("var_id")).alias("leading_edge")).join(sets, "set", "left_semi")
+    return edge.groupBy(by, "set").agg(F.first("es").alias("es"), F.first("at").alias("at"), F.array_sort(F.collect_list("var_id")).alias("leading_edge"))
 
 
 def gene_set_score(m: Matrix, members: DataFrame, bins: int) -> DataFrame:
@@ -71,7 +82,11 @@ def gene_set_score(m: Matrix, members: DataFrame, bins: int) -> DataFrame:
     Bins are ``ntile`` of the variables' totals; zeros count in both means.
     """
     t = m.var.select("var_id").join(m.entries.groupBy("var_id").agg(F.sum("value").alias("t")), "var_id", "left").fillna(0.0, ["t"])
-    b = t.withColumn("bin", F.ntile(bins).over(Window.orderBy("t", "var_id")))  # one row a variable
+    place = ranked(t, [], ["t", "var_id"], "_r", size="_n")
+    # ntile: the first n mod bins bins have one more
+    small, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    early = more * (small + 1)
+    b = place.withColumn("bin", F.when(F.col("_r") <= early, F.floor((F.col("_r") - 1) / (small + 1)) + 1).otherwise(more + F.floor((F.col("_r") - 1 - early) / F.greatest(small, F.lit(1))) + 1).cast("int")).drop("_r", "_n")
     inset = b.join(members.select("var_id").distinct().withColumn("is_set", F.lit(True)), "var_id", "left").fillna(False, ["is_set"])
     used = inset.where("is_set").select("bin").distinct()
     side = inset.join(used, "bin", "left_semi").select("var_id", "is_set")
@@ -106,20 +121,37 @@ def two_by_two(df: DataFrame, by: str, hit: Column, foreground: Column) -> DataF
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str]) -> DataFrame:
-    """Adds ``q``: min over larger p of p n / rank, at most 1. Equal p are compressed first; null p stay null and do not count."""
+    """Adds ``q``: min over larger p of p n / rank, at most 1. Equal p are compressed first; null p stay null and do not count.
+
+    Ranks are running totals and the minimum is taken within range partitions, then over those above (one row a partition):
+    a group that holds most rows is spread like any other.
+    """
     d = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_k"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(*UP_TO)
-    d = d.withColumns({"_r": F.sum("_k").over(up), "_n": F.sum("_k").over(Window.partitionBy(*by))})
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(*UP_TO)
-    q = d.select(*by, p, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down)).alias("q"))
-    return df.join(q, [*by, p], "left")
+    n = d.groupBy(*by).agg(F.sum("_k").alias("_n")).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], "_n")
+    r = running_totals(d, [p], ["_k"], by)
+    r = r.join(n, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(by)] or F.lit(True))
+    r = r.select(*by, p, (F.col(p) * F.col("_n") / F.col("run__k")).alias("_v"))
+    q = running_least(r, by, F.col(p).desc(), "_v").select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], F.col(p).alias("_p"), F.least(F.lit(1.0), "_least").alias("q"))
+    return df.join(q, [*[F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(by)], F.col(p) == F.col("_p")], "left").drop("_p", *[f"_b{i}" for i in range(len(by))])
+
+
+def running_least(df: DataFrame, by: Sequence[str], order: Column, value: str) -> DataFrame:
+    """Adds ``_least``: the smallest value so far within ``by`` in an order, over range partitions."""
+    parts = scratch_table(df.repartitionByRange(*[F.col(k) for k in by], order).withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(*UP_TO)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    low = parts.groupBy("_part", *by).agg(F.min(value).alias("_m"))
+    low = low.select(F.col("_part").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.min("_m").over(before).alias("_before"))
+    on = [F.col("_part") == F.col("_q"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]]
+    out = parts.withColumn("_here", F.min(value).over(upto)).join(low, on)
+    return out.withColumn("_least", F.least("_here", "_before")).drop("_part", "_q", "_here", "_before", *[f"_k{i}" for i in range(len(by))])
 
 
 def average_ranks(df: DataFrame, by: str, value: str, into: str) -> DataFrame:
     """Average ranks with ties within ``by``, over compressed values."""
     d = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(by).orderBy(value).rowsBetween(*UP_TO)
-    return df.join(d.select(by, value, (F.sum("_k").over(w) - (F.col("_k") - 1) / 2).alias(into)), [by, value])
+    r = running_totals(d, [value], ["_k"], [by]).select(F.col(by).alias("_b"), F.col(value).alias("_v"), (F.col("run__k") - (F.col("_k") - 1) / 2).alias(into))
+    return df.join(r, F.col(by).eqNullSafe(F.col("_b")) & (F.col(value) == F.col("_v"))).drop("_b", "_v")
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -188,8 +220,7 @@ def linear_fit(df: DataFrame, by: str, x: Column, y: Column) -> DataFrame:
 
 def trimmed_mean(df: DataFrame, by: str, value: str, ident: str, trim: float) -> DataFrame:
     """Mean and population variance without floor(n trim) values at each end."""
-    w = Window.partitionBy(by)
-    d = df.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value, ident)), "_n": F.count(F.lit(1)).over(w)})
+    d = ranked(df.where(F.col(value).isNotNull()).select(by, value, ident), [by], [value, ident], "_r", size="_n")
     cut = F.floor(F.col("_n") * trim)
     d = d.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut))
     return d.groupBy(by).agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var"))

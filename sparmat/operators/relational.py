@@ -251,3 +251,82 @@ def natural_key(c: Column) -> list[Column]:
 
 def long_form(entries: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
     return entries.join(obs, "obs_id").join(var, "var_id")
+
+
+# --- experiments' frames ------------------------------------------------------------------------------
+def consensus_outer(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Results of several methods (keys and a column of the method's name) joined in full; repeated rows count once, missing results are null."""
+    parts = [df.select(*keys, name).dropDuplicates([*keys, name]) for name, df in frames.items()]
+    return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), parts)
+
+
+def filter_results(df: DataFrame, most: Mapping[str, float], order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose columns are at most the given bounds (e.g. fdr, p), in order."""
+    kept = reduce(lambda d, kv: d.where(F.col(kv[0]) <= kv[1]), most.items(), df)
+    return kept.orderBy(*order) if order else kept
+
+
+def filter_interactions(df: DataFrame, sources: Sequence = (), targets: Sequence = (), ligands: Sequence = (), receptors: Sequence = (), criteria: Sequence[Column] = ()) -> DataFrame:
+    """Interactions (source, target, ligand, receptor, ...) of the named sides that meet all criteria; an empty list does not restrict."""
+    for c, values in (("source", sources), ("target", targets), ("ligand", ligands), ("receptor", receptors)):
+        df = df.where(F.col(c).isin(*values)) if values else df
+    return reduce(lambda d, c: d.where(c), criteria, df)
+
+
+def group_cdf(interactions: DataFrame, stats: DataFrame, group: str) -> DataFrame:
+    """Adds ligand_cdf and receptor_cdf: normal distribution functions of the sides' means with the moments of their group.
+
+    ``interactions``: source, target, l_mean, r_mean; ``stats``: (group, mean, sd, n), joined once for either side. Null for a group without stats or spread.
+    """
+    from sparmat.functions.stats import normal_cdf
+
+    out = interactions
+    for side, at in (("l", "source"), ("r", "target")):
+        s = stats.select(F.col(group).alias(at), *[F.col(c).alias(f"_{side}_{c}") for c in ("mean", "sd", "n")])
+        z = F.try_divide((F.col(f"{side}_mean") - F.col(f"_{side}_mean")) * F.sqrt(f"_{side}_n"), F.when(F.col(f"_{side}_sd") > 0, F.col(f"_{side}_sd")))
+        out = out.join(s, at, "left").withColumn({"l": "ligand_cdf", "r": "receptor_cdf"}[side], normal_cdf(z)).drop(*[f"_{side}_{c}" for c in ("mean", "sd", "n")])
+    return out
+
+
+def region_of_interest(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float], into: str, name: str) -> DataFrame:
+    """Rows inside a rectangle (bounds included), labelled as a region of their own."""
+    return df.where(F.col(x).between(*x_range) & F.col(y).between(*y_range)).withColumn(into, F.lit(name))
+
+
+def transform_coordinates(df: DataFrame, **functions: Callable[[Column], Column]) -> DataFrame:
+    """Coordinate columns replaced by functions of themselves."""
+    return df.withColumns({c: f(F.col(c)) for c, f in functions.items()})
+
+
+def attach_layers(layers: Mapping[str, DataFrame], obs: DataFrame, var: DataFrame) -> DataFrame:
+    """(obs_id, var_id, and a column per layer): entries of the layers over the observations and variables that all of them share; 0 where a layer has none."""
+    shared_o = reduce(lambda a, b: a.join(b, "obs_id", "left_semi"), [d.select("obs_id").distinct() for d in layers.values()], obs.select("obs_id"))
+    shared_v = reduce(lambda a, b: a.join(b, "var_id", "left_semi"), [d.select("var_id").distinct() for d in layers.values()], var.select("var_id"))
+    long = reduce(DataFrame.unionByName, [d.select("obs_id", "var_id", *[(F.col("value") if n == name else F.lit(0.0)).alias(n) for n in layers]) for name, d in layers.items()])
+    return long.join(shared_o, "obs_id", "left_semi").join(shared_v, "var_id", "left_semi").groupBy("obs_id", "var_id").agg(*[F.sum(n).alias(n) for n in layers])
+
+
+def resolve_variable(name: str, obs: DataFrame, var: DataFrame, entries: DataFrame) -> DataFrame:
+    """(obs_id, value) of a name, looked for as a column of obs, then as var_id, as ``gene`` and as ``id`` of var; absent entries are 0.
+
+    Of several variables of one name the smallest var_id is taken; a name that is found nowhere is an error.
+    """
+    if name in obs.columns:
+        return obs.select("obs_id", F.col(name).alias("value"))
+    for c in ("var_id", "gene", "id"):
+        if c in var.columns:
+            hit = var.where(F.col(c).cast("string") == name).agg(F.min("var_id")).first()[0]
+            if hit is not None:
+                return obs.select("obs_id").join(entries.where(F.col("var_id") == hit).select("obs_id", "value"), "obs_id", "left").fillna(0.0, ["value"])
+    raise KeyError(name)
+
+
+def annotate_variables(df: DataFrame, genes: DataFrame, by: str) -> DataFrame:
+    """Gene columns for names of the form 'modality:taxa:uid' (or a bare uid); names without an entry get nulls."""
+    parts = F.split(by, ":")
+    return df.withColumn("uid", F.element_at(parts, -1)).join(genes, "uid", "left")
+
+
+def select_slots(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Without the named columns; names that do not exist are no error."""
+    return df.drop(*names)

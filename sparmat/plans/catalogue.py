@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparmat.plans import core_problems, q_extras, q_genome, q_graph, q_matrix, q_ranks, q_relational, q_sources, q_streaming
+from sparmat.plans import core_problems, q_extras, q_genome, q_graph, q_matrix, q_methods, q_ranks, q_relational, q_sources, q_streaming
 
-MODULES = (core_problems, q_extras, q_genome, q_graph, q_matrix, q_ranks, q_relational, q_sources, q_streaming)
+MODULES = (core_problems, q_extras, q_genome, q_graph, q_matrix, q_methods, q_ranks, q_relational, q_sources, q_streaming)
 FLAGSHIP = "pseudobulk"
 
 

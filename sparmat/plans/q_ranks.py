@@ -165,14 +165,9 @@ def lr_complex_min(s, d):
     return _r(L.complex_minimum(L.explode_complexes(c, "complex"), ["complex"], "complex", st, "status"), "mean", "prop")
 
 
-def lr_permutation(s, d):
-    m = orders_matrix(s, d)
-    return _r(L.permutation_p(m, "status", _resource(m), 20), "lr_mean", "p")
-
-
 FUNCS = (
     rankings, aucell, nes_zscore, gsea_running, gene_set_score, overrepresentation, chi2_enrichment, bh_adjust, spearman_by_flag, pearson_masked, binned_trend, moving_average, linear_fit,
-    trimmed_mean, top_targets, percentile_targets, call_cells, expression_entropy, lr_scores, lr_rank_mean, lr_rank_rra, lr_pivot, lr_topn, lr_complex_min, lr_permutation,
+    trimmed_mean, top_targets, percentile_targets, call_cells, expression_entropy, lr_scores, lr_rank_mean, lr_rank_rra, lr_pivot, lr_topn, lr_complex_min,
 )
 QUERIES = {f.__name__: f for f in FUNCS}
 

@@ -14,6 +14,7 @@ from sparmat.model import Matrix
 from sparmat.operators import aggregate as A
 from sparmat.operators import graph as H
 from sparmat.operators import ligand_receptor as L
+from sparmat.operators import significance as S
 from sparmat.operators import normalize as N
 from sparmat.operators import ranks as K
 from sparmat.operators import relational as V
@@ -160,7 +161,7 @@ def test_permutations(spark):
     obs = [(i, "hi" if i < 40 else "lo") for i in range(80)]
     rows = [(i, v, (5.0 if g == "hi" else 0.5) + rnd.random()) for i, g in obs for v in (1, 2)]
     m = Matrix(spark.createDataFrame(rows, "obs_id int, var_id int, value double"), spark.createDataFrame(obs, "obs_id int, grp string"), spark.createDataFrame([(1,), (2,)], "var_id int"))
-    p = {(r.source, r.target): r.p for r in L.permutation_p(m, "grp", spark.createDataFrame([(1, 2)], "ligand int, receptor int"), 25).collect()}
+    p = {(r.source, r.target): r.p for r in S.label_permutation_p(m, "grp", spark.createDataFrame([(1, 2)], "ligand int, receptor int"), 25).collect()}
     assert p["hi", "hi"] == 0 and p["lo", "lo"] == 1
 
 
