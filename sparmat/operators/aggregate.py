@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparmat.model import Matrix
-from sparmat.session import running_totals
+from sparmat.operators.skew import interpolated_percentiles
+from sparmat.session import running_totals, scratch_table
 
 
 def pseudobulk(m: Matrix, by: str, quantiles: bool = False) -> DataFrame:
@@ -94,12 +95,14 @@ def qc_metrics(m: Matrix, marked: Column) -> DataFrame:
 
 def outlier_bounds(df: DataFrame, by: str, value: str, method: str, n: float) -> DataFrame:
     """(by, low, high): median -/+ n MAD ('mad'), or Q1 - n IQR and Q3 + n IQR ('tukey'), quantiles interpolated linearly."""
-    q = df.groupBy(by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("q"))
+    q = interpolated_percentiles(df, [by], value, [0.25, 0.5, 0.75])
     if method == "tukey":
         iqr = F.col("q")[2] - F.col("q")[0]
         return q.select(by, (F.col("q")[0] - n * iqr).alias("low"), (F.col("q")[2] + n * iqr).alias("high"))
     med = q.select(by, F.col("q")[1].alias("med"))
-    mad = df.join(med, by).groupBy(by).agg(F.first("med").alias("med"), F.percentile(F.abs(F.col(value) - F.col("med")), 0.5).alias("mad"))
+    med = scratch_table(med, "medians")
+    off = df.join(med, by).select(by, F.abs(F.col(value) - F.col("med")).alias("_off"))
+    mad = interpolated_percentiles(off, [by], "_off", [0.5]).select(by, F.col("q")[0].alias("mad")).join(med, by)
     return mad.select(by, (F.col("med") - n * F.col("mad")).alias("low"), (F.col("med") + n * F.col("mad")).alias("high"))
 
 

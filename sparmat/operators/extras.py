@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from sparmat.functions.stats import correlation
 from sparmat.model import Matrix
 from sparmat.operators.genome import insertions, overlap_join
+from sparmat.operators.skew import interpolated_percentiles
+from sparmat.session import ranked
 
 
 def metacell_means(m: Matrix, assignment: DataFrame) -> DataFrame:
@@ -50,9 +52,10 @@ def footprint(frags: DataFrame, sites: DataFrame, group: str, reach: int, smear:
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Frame behind box and violin plots: n, mean, sd, minimum, quartiles, maximum."""
-    q = F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0])
-    d = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("_q"))
-    return d.select(*by, "n", "mean", "sd", *[F.col("_q")[i].alias(c) for i, c in enumerate(("min", "q1", "median", "q3", "max"))])
+    d = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = interpolated_percentiles(df, by, value, [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "q")
+    d = d.join(q, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)], "left")
+    return d.select(*by, "n", "mean", "sd", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))], "max")
 
 
 def flows(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -62,7 +65,7 @@ def flows(df: DataFrame, left: str, right: str) -> DataFrame:
 def clone_ids(df: DataFrame, patient: str, clone: str, order: str) -> DataFrame:
     """(patient, clone, ordinal): clones numbered per patient by their first row in ``order``."""
     first = df.where(F.col(clone).isNotNull()).groupBy(patient, clone).agg(F.min(order).alias("_f"))
-    return first.withColumn("ordinal", F.row_number().over(Window.partitionBy(patient).orderBy("_f", clone))).drop("_f")
+    return ranked(first, [patient], ["_f", clone], "ordinal").drop("_f")
 
 
 def position_bits(df: DataFrame, seq: str, length: int, alphabet: str = "ACGT") -> DataFrame:
@@ -86,15 +89,16 @@ def layer_shares(df: DataFrame, by: str, layers: Sequence[str]) -> DataFrame:
 
 def top_mask(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
     """Adds ``scaled`` (min-max within the group, 0 for a constant group) and ``top``: at or above the group's 1 - share quantile."""
-    g = df.groupBy(by).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.percentile(value, 1 - share).alias("_q"))
+    g = interpolated_percentiles(df, [by], value, [0.0, 1.0, 1 - share]).select(by, *[F.col("q")[i].alias(c) for i, c in enumerate(("_a", "_b", "_q"))])
     j = df.join(g, by)
     return j.withColumns({"scaled": F.when(F.col("_b") > F.col("_a"), (F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0), "top": F.col(value) >= F.col("_q")}).drop("_a", "_b", "_q")
 
 
 def scaled_mad(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median absolute deviation over the normal's third quartile 0.6744897501960817."""
-    med = df.groupBy(by).agg(F.median(value).alias("_m"))
-    return df.join(med, by).groupBy(by).agg((F.median(F.abs(F.col(value) - F.col("_m"))) / 0.6744897501960817).alias("mad"))
+    med = interpolated_percentiles(df, [by], value, [0.5]).select(by, F.col("q")[0].alias("_m"))
+    off = df.join(med, by).select(by, F.abs(F.col(value) - F.col("_m")).alias("_off"))
+    return interpolated_percentiles(off, [by], "_off", [0.5]).select(by, (F.col("q")[0] / 0.6744897501960817).alias("mad"))
 
 
 def constant_variables(m: Matrix) -> DataFrame:
@@ -128,8 +132,8 @@ def marker_filter(df: DataFrame, min_pct: float, max_pct_reference: float, min_l
 
 def cluster_spread(values: DataFrame, by: str, value: str) -> DataFrame:
     """Mean absolute profile value and the interquartile range per cluster."""
-    q = F.percentile(value, [0.25, 0.75])
-    return values.groupBy(by).agg(F.avg(F.abs(value)).alias("score"), q.alias("_q")).select(by, "score", (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"))
+    q = interpolated_percentiles(values, [by], value, [0.25, 0.75]).select(by, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    return values.groupBy(by).agg(F.avg(F.abs(value)).alias("score")).join(q, by)
 
 
 def correlation_with_self(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:

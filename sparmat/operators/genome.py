@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from sparmat.operators.intervals import merge_intervals
 from sparmat.operators.relational import natural_key
+from sparmat.session import scratch_table
 
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -196,7 +197,7 @@ def running_sums(df: DataFrame, key: str, pos: str, values: Sequence[str], block
     Positions are summed per (key, block of positions); the totals of the earlier blocks (one row a block)
     are added, so no task orders a whole key.
     """
-    d = df.groupBy(key, pos).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_b", F.floor(F.col(pos) / block))
+    d = scratch_table(df.groupBy(key, pos).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_b", F.floor(F.col(pos) / block)), "events")  # read twice
     w = Window.partitionBy(key, "_b").orderBy(pos)
     local = d.withColumns({v: F.sum(v).over(w.rowsBetween(*UP_TO)) for v in values} | {"_next": F.lead(pos).over(w)})
     per = d.groupBy(key, "_b").agg(F.min(pos).alias("_first"), *[F.sum(v).alias(f"_t_{v}") for v in values])

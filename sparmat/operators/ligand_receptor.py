@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparmat.functions.stats import normal_cdf
 from sparmat.model import Matrix
 from sparmat.operators.aggregate import pseudobulk
+from sparmat.session import scratch_table
 
 
 def group_stats(m: Matrix, by: str) -> DataFrame:
@@ -62,7 +63,8 @@ def scorers(mu: Column, top: Column) -> dict[str, Column]:
 
 
 def score(m: Matrix, by: str, resource: DataFrame, least_prop: float) -> DataFrame:
-    """All scores per (source, target, ligand, receptor)."""
+    """All scores per (source, target, ligand, receptor). The entries are written once: six branches read them."""
+    m = Matrix(scratch_table(m.entries, "entries"), m.obs, m.var)
     mu = F.try_divide(m.entries.agg(F.sum("value").alias("s")).scalar(), m.obs.agg(F.count(F.lit(1)).alias("n")).scalar() * m.var.agg(F.count(F.lit(1)).alias("n")).scalar())
     top = m.entries.agg(F.max("value").alias("t")).scalar()
     p = pair_stats(group_stats(m, by), resource, by, least_prop).withColumns({"_mu": mu, "_top": top})

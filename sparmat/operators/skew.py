@@ -7,12 +7,14 @@ percentiles per key then come from the weighted values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sparmat.session import running_totals
 
 
 def compress_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -35,41 +37,42 @@ def key_totals(weighted: DataFrame, keys: Sequence[str], value: str) -> DataFram
     )
 
 
-def key_percentiles(
-    weighted: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], splits: int = 256, accuracy: int = 10000
-) -> DataFrame:
+def key_percentiles(weighted: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
     """Exact percentiles per key from ``compress_values``: (keys, fraction, percentile).
 
     A percentile is the smallest value that at least this share of the key's rows do not exceed. Null
-    values are ignored; a key without values has no row. Keys are joined null-safe.
+    values are ignored; a key without values has no row; null keys are keys of their own.
 
-    A key with very many distinct values is cut into ranges: the boundaries (at most ``splits`` numbers)
-    come from one approximate-quantile pass over all weighted values, each key's rank is located among
-    its range totals (at most ``splits`` + 1 rows a key), and only that range is ranked. Boundaries
-    change which task does the work, never the result.
+    The weighted values are ranked by running totals over range partitions: a key with very many distinct values is
+    spread over as many of them as it needs.
     """
-    w = weighted.where(F.col(value).isNotNull()).select(F.struct(*[F.col(k).alias(k) for k in keys]).alias("_k"), F.col(value).alias("_v"), "freq")
-    probs = [i / splits for i in range(1, splits)]
-    bounds = sorted(set(w.approxQuantile("_v", probs, 1.0 / accuracy) or []))
-    cut = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    w = w.withColumn("_r", F.size(F.filter(cut, lambda b: b < F.col("_v"))))  # boundaries below: an ordered range id
-    per_range = w.groupBy("_k", "_r").agg(F.sum("freq").alias("_n"))
-    order = Window.partitionBy("_k").orderBy("_r")
-    located = (
-        per_range.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy("_k")))
-        .withColumn("fraction", F.explode(F.array(*[F.lit(float(q)) for q in fractions])))
-        .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("fraction") * F.col("_all"), 9))))
-        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
-        .select("_k", "_r", "fraction", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rest"))
-    )
-    upto = F.sum("freq").over(Window.partitionBy("_k", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        w.withColumn("_c", upto)
-        .join(located, ["_k", "_r"])
-        .where((F.col("_rest") <= F.col("_c")) & (F.col("_rest") > F.col("_c") - F.col("freq")))
-        .select(*[F.col("_k")[k].alias(k) for k in keys], "fraction", F.col("_v").alias("percentile"))
-    )
+    at = _located(weighted, keys, value, fractions, lambda q, n: F.greatest(F.lit(1), F.ceil(F.round(q * n, 9))))
+    return at.select(*keys, F.col("_q").alias("fraction"), F.col(value).alias("percentile"))
+
+
+def interpolated_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
+    """(keys, q): percentiles per key with linear interpolation between neighbouring values, as an array in the order of ``fractions``.
+
+    The same numbers as ``percentile``, without a buffer of all values of a key. Null values are ignored; a key without values has no row.
+    """
+    w = compress_values(df.where(F.col(value).isNotNull()), keys, value)
+    place = lambda q, n: F.round(q * (n - 1), 9)
+    low = _located(w, keys, value, fractions, lambda q, n: F.floor(place(q, n)) + 1, lambda q, n: F.ceil(place(q, n)) + 1)
+    part = place(F.col("_q"), F.col("_n")) - F.floor(place(F.col("_q"), F.col("_n")))
+    v = low.groupBy(*keys, "_q").agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.first(part).alias("_w")).withColumn("_v", F.col("_a") + F.col("_w") * (F.col("_b") - F.col("_a")))
+    by_fraction = F.map_from_entries(F.collect_list(F.struct("_q", "_v")))  # one entry a fraction
+    return v.groupBy(*keys).agg(by_fraction.alias("_m")).select(*keys, F.array(*[F.col("_m")[F.lit(float(q))] for q in fractions]).alias("q"))
+
+
+def _located(weighted: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], *ranks: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, _q, _n, value): the values at the given ranks of each fraction q among the n rows of a key."""
+    w = weighted.where(F.col(value).isNotNull()).select(*keys, value, "freq")
+    run = running_totals(w, [value], ["freq"], keys)
+    n = w.groupBy(*keys).agg(F.sum("freq").alias("_n")).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_n")
+    run = run.join(n, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)] or F.lit(True)).drop(*[f"_b{i}" for i in range(len(keys))])
+    inside = lambda q: reduce(lambda a, b: a | b, [(f(q, F.col("_n")) > F.col("run_freq") - F.col("freq")) & (f(q, F.col("_n")) <= F.col("run_freq")) for f in ranks])
+    hit = F.array_compact(F.array(*[F.when(inside(F.lit(float(q))), F.lit(float(q))) for q in fractions]))
+    return run.withColumn("_q", F.explode(hit)).select(*keys, "_q", "_n", value)
 
 
 def heavy_keys(totals: DataFrame, measures: Sequence[str], share: float) -> DataFrame:

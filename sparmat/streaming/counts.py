@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +34,26 @@ def first_versions(rows: DataFrame, key: str, time: str, late: str) -> DataFrame
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
     """Run an available-now stream to its end into the shared folder and read the result.
 
-    'complete' rewrites the result with each batch, 'append' adds to it; progress is checkpointed, so a
-    restarted driver goes on where it stopped.
+    'append' adds final rows; 'update' adds the rows that a batch changed, of which the last of each of ``keys`` counts (the state of
+    windows behind the watermark is dropped); 'complete' rewrites the result with each batch, for what has no update mode.
+    Progress is checkpointed, so a restarted driver goes on where it stopped; a repeated batch replaces its own rows.
     """
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", f"{base}/rows").start()
+    elif mode == "update":
+        q = w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/rows/batch={i}")).start()
+        q.awaitTermination()
+        rows = spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows/*")
+        last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+        named = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("batch").alias("_b"))
+        on = [F.col("batch") == F.col("_b"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+        return rows.join(named, on).select(*stream.columns)
     else:
         q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows")).start()
     q.awaitTermination()

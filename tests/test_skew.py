@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sparmat.functions.text import barcode_code, barcode_text, chrom_label
-from sparmat.operators.skew import compress_values, heavy_keys, key_percentiles, key_totals
+from sparmat.operators.skew import compress_values, heavy_keys, interpolated_percentiles, key_percentiles, key_totals
 
 
 def data(spark):
@@ -24,7 +24,7 @@ def test_totals_and_percentiles(spark):
     rows, df = data(spark)
     w = compress_values(df.drop("freq"), ["k"], "v")
     got = {r.k: r for r in key_totals(w, ["k"], "v").collect()}
-    pct = {(r.k, r.fraction): r.percentile for r in key_percentiles(w, ["k"], "v", [0.1, 0.5, 1.0], splits=8).collect()}
+    pct = {(r.k, r.fraction): r.percentile for r in key_percentiles(w, ["k"], "v", [0.1, 0.5, 1.0]).collect()}
     for k in {r[0] for r in rows}:
         vals = [r[1] for r in rows if r[0] == k]
         real = sorted(v for v in vals if v is not None)
@@ -60,3 +60,16 @@ def test_barcodes(spark):
     vals = [b, b.lower() + "-1", f"s:{b}", f" {b}", b + "A", "NNNN", "", None, "T" * 16]
     df = spark.createDataFrame([(v,) for v in vals], "c string").select(barcode_text(barcode_code(F.col("c"))).alias("b"))
     assert [r.b for r in df.collect()] == [b] * 4 + [None] * 4 + ["T" * 16]
+
+
+def test_interpolated_percentiles_of_hot_keys(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in (("hot", 900), ("a", 7), (None, 4), ("one", 1)) for v in rng.integers(0, 40, n)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: r.q for r in interpolated_percentiles(df, ["k"], "v", [0.0, 0.25, 0.333, 0.5, 1.0]).collect()}
+    assert set(got) == {"hot", "a", None, "one"}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for x, v in rows if x == k], [0.0, 0.25, 0.333, 0.5, 1.0]))
+    assert interpolated_percentiles(df.limit(0), ["k"], "v", [0.5]).collect() == []
