@@ -234,14 +234,18 @@ def signature_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def subsample_per_group(df: DataFrame, by: str, ident: str, n: int, seed: int) -> DataFrame:
-    """n rows per group without replacement, chosen by a hash of the id: the same for every run and partitioning."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident)
+    """n rows per group without replacement, chosen by an MD5 of the id: the same for every run, partitioning and engine."""
+    w = Window.partitionBy(by).orderBy(_draw(ident, seed), ident)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def subsample_fraction(df: DataFrame, ident: str, share: float, seed: int) -> DataFrame:
-    """Each row with probability ``share``, decided by a hash of the id."""
-    return df.where(F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Each row with probability ``share``, decided by an MD5 of the id (its first eight hexadecimal digits as a fraction)."""
+    return df.where(F.conv(F.substring(_draw(ident, seed), 1, 8), 16, 10).cast("bigint") < F.lit(int(share * (1 << 32))))
+
+
+def _draw(ident: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("/", F.col(ident).cast("string"), F.lit(str(seed))))
 
 
 def natural_key(c: Column) -> list[Column]:

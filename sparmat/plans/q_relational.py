@@ -248,6 +248,8 @@ _ON = " OR ".join(
     for (x1, y1), (x2, y2) in _EDGES
 )
 ORACLE = {
+    "subsample_groups": "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || '/11'), c_custkey) <= 5",
+    "subsample_fraction": "SELECT c_custkey FROM customer WHERE CAST('0x' || substr(md5(c_custkey || '/11'), 1, 8) AS BIGINT) < 1073741824",
     "meta_columns": """SELECT p_partkey, 'x' AS origin, p_brand || '/' || p_type AS pasted, coalesce(nullif(split_part(p_type, ' ', 2), ''), 'none') AS piece,
  CASE WHEN p_brand LIKE '%3%' THEN 'three' WHEN p_type LIKE '%STEEL' THEN 'steel' WHEN p_type LIKE 'PROMO%' THEN 'promo' END AS kind FROM part""",
     "metadata_find": "SELECT * FROM metadata WHERE modality = 'rna' AND sample = 'kt02'",
