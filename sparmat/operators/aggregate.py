@@ -100,7 +100,7 @@ def outlier_bounds(df: DataFrame, by: str, value: str, method: str, n: float) ->
         iqr = F.col("q")[2] - F.col("q")[0]
         return q.select(by, (F.col("q")[0] - n * iqr).alias("low"), (F.col("q")[2] + n * iqr).alias("high"))
     med = q.select(by, F.col("q")[1].alias("med"))
-    med = scratch_table(med, "medians")
+    med = scratch_table(med, "medians")  # one row a group
     off = df.join(med, by).select(by, F.abs(F.col(value) - F.col("med")).alias("_off"))
     mad = interpolated_percentiles(off, [by], "_off", [0.5]).select(by, F.col("q")[0].alias("mad")).join(med, by)
     return mad.select(by, (F.col("med") - n * F.col("mad")).alias("low"), (F.col("med") + n * F.col("mad")).alias("high"))

@@ -147,16 +147,27 @@ def running_least(df: DataFrame, by: Sequence[str], order: Column, value: str) -
     return out.withColumn("_least", F.least("_here", "_before")).drop("_part", "_q", "_here", "_before", *[f"_k{i}" for i in range(len(by))])
 
 
+def rank_table(df: DataFrame, by: str, value: str, into: str) -> DataFrame:
+    """(_b, _v, into): average rank with ties of every distinct value within ``by``; written, so its size is known to the joins that use it."""
+    d = scratch_table(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_k")), "values")
+    r = running_totals(d, [value], ["_k"], [by])
+    return scratch_table(r.select(F.col(by).alias("_b"), F.col(value).alias("_v"), (F.col("run__k") - (F.col("_k") - 1) / 2).alias(into)), "ranks")
+
+
 def average_ranks(df: DataFrame, by: str, value: str, into: str) -> DataFrame:
-    """Average ranks with ties within ``by``, over compressed values."""
-    d = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_k"))
-    r = running_totals(d, [value], ["_k"], [by]).select(F.col(by).alias("_b"), F.col(value).alias("_v"), (F.col("run__k") - (F.col("_k") - 1) / 2).alias(into))
+    """Average ranks with ties within ``by``, over compressed values; rows with a null value are left out."""
+    r = rank_table(df, by, value, into)
     return df.join(r, F.col(by).eqNullSafe(F.col("_b")) & (F.col(value) == F.col("_v"))).drop("_b", "_v")
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    r = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y), by, x, "_x"), by, y, "_y")
-    return r.groupBy(by).agg(correlation("_x", "_y").alias("rho"))
+    """(by, rho) over the rows in which both values stand."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y)
+    tables = {c: rank_table(d.select(by, c), by, c, into) for c, into in ((x, "_x"), (y, "_y"))}
+    for c in (x, y):
+        r = tables[c]
+        d = d.join(r, F.col(by).eqNullSafe(F.col("_b")) & (F.col(c) == F.col("_v"))).drop("_b", "_v")
+    return d.groupBy(by).agg(correlation("_x", "_y").alias("rho"))
 
 
 def masked_pearson(entries: DataFrame, pairs: DataFrame, least: int) -> DataFrame:

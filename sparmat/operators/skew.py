@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparmat.session import running_totals
+from sparmat.session import running_totals, scratch_table
 
 
 def compress_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -66,7 +66,7 @@ def interpolated_percentiles(df: DataFrame, keys: Sequence[str], value: str, fra
 
 def _located(weighted: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], *ranks: Callable[[Column, Column], Column]) -> DataFrame:
     """(keys, _q, _n, value): the values at the given ranks of each fraction q among the n rows of a key."""
-    w = weighted.where(F.col(value).isNotNull()).select(*keys, value, "freq")
+    w = scratch_table(weighted.where(F.col(value).isNotNull()).select(*keys, value, "freq"), "weighted")  # small against the rows, read three times
     run = running_totals(w, [value], ["freq"], keys)
     n = w.groupBy(*keys).agg(F.sum("freq").alias("_n")).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_n")
     run = run.join(n, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)] or F.lit(True)).drop(*[f"_b{i}" for i in range(len(keys))])
