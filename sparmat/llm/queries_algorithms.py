@@ -151,6 +151,10 @@ c AS (SELECT obs_id, lower(regexp_replace(sample, '^\s+|\s+$', '', 'g')) AS samp
 o AS (SELECT * FROM c WHERE n_umi >= 0 AND sample IN (SELECT sample FROM k))
 """
 ORACLE = {
+    "p6_found": """WITH c AS (SELECT obs_id, spectral::DOUBLE[] AS v FROM obsm QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC) = 1),
+u AS (SELECT * FROM c WHERE len(v) = 32 AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in v if x <> 0]) > 0),
+p AS (SELECT a.obs_id AS a, b.obs_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a, u b WHERE a.obs_id <> b.obs_id), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS obs_a, greatest(a, b) AS obs_b FROM t WHERE c >= 0.9995""",
     "p5_found": _P5
     + """, l AS (SELECT sample, quantile_disc(n_umi, 0.1) AS p10, quantile_disc(n_umi, 0.9) AS p90 FROM o GROUP BY 1)
 SELECT obs_id FROM o JOIN l USING (sample) WHERE n_umi > 6 * p90 OR 6 * n_umi < p10""",
