@@ -267,11 +267,11 @@ def principal_components(data: DataFrame, k: int) -> DataFrame:
 
 
 def kmeans(data: DataFrame, k: int, steps: int) -> DataFrame:
-    """(id, cluster, dist): Lloyd's iterations from farthest-first seeds of the rows of smallest ids.
+    """(id, cluster, dist): Lloyd's iterations from farthest-first seeds among max(200, 4 k) rows drawn by a hash of the id.
 
     A pass folds each partition to k sums; the driver holds k centres. Empty clusters keep their centre.
     """
-    seedable = _rows(data.orderBy("id").limit(max(200, 4 * k)).select("vec").toArrow().column("vec"))
+    seedable = _rows(data.orderBy(F.xxhash64("id"), "id").limit(max(200, 4 * k)).select("vec").toArrow().column("vec"))
     centres = [seedable[0]]
     while len(centres) < k:
         centres.append(seedable[np.min([((seedable - c) ** 2).sum(1) for c in centres], axis=0).argmax()])
@@ -303,11 +303,12 @@ def kmeans(data: DataFrame, k: int, steps: int) -> DataFrame:
 
 
 def nmf(data: DataFrame, k: int, steps: int, inner: int = 20) -> tuple[DataFrame, np.ndarray]:
-    """((id, usage), spectra): non-negative factors of non-negative vectors (id, vec) by multiplicative updates.
+    """((id, usage), spectra): non-negative factors of non-negative vectors (id, vec) by multiplicative updates, started from the
+    means of 50 k rows drawn by a hash of the id.
 
     The driver holds the k x dim spectra; usages are solved within the pass from the spectra, so no state of the rows is kept.
     """
-    first = _rows(data.orderBy("id").limit(50 * k).select("vec").toArrow().column("vec"))
+    first = _rows(data.orderBy(F.xxhash64("id"), "id").limit(50 * k).select("vec").toArrow().column("vec"))
     h = np.stack([first[i::k].mean(0) for i in range(k)]) + 1e-6
 
     def usage(x: np.ndarray, h: np.ndarray) -> np.ndarray:
