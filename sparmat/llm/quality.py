@@ -6,15 +6,16 @@ words and the shares of character classes of a window are compared by Jensen-Sha
 profiles: of prose, one per language, and of lists, tables and junk. The share of a text's characters in
 windows nearest to prose tells prose from everything else, also where both are mixed.
 
-The profiles are means over texts of the corpus that carry an unmistakable structure (``structural_label``).
+The profiles are means over all texts of the corpus that carry an unmistakable structure (``structural_label``).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparmat.session import scratch_table
+
 WINDOW_WORDS, WINDOW_CHARS, LINE_CHARS = 12, 160, 640
-#: Bounds of the fit: labelled texts, and the length up to which a text is taken for it.
-FIT_TEXTS, FIT_CHARS = 5_000, 4_000
-#: Learned profiles per label that is not prose: layouts of one kind differ.
-LAYOUTS = 4
+#: Labels that are not prose, and learned profiles for each: layouts of one kind differ.
+LABELS, LAYOUTS = ("junk", "list", "table"), 4
+#: The fit adds up shares as whole multiples of 1 / SCALE, so that sums do not depend on the order of rows.
+SCALE = 2**36
 
 #: A word; one or two letters elided before another word (l'eau) are none.
 TOKEN = re.compile(r"[^\W_]++(?!['’][^\W\d_])|[^\W_]{3,}")
 #: The number or letter of a list item is not a word.
 _ORDINAL = re.compile(r"\s*\(?(?:[0-9]{1,3}|[A-Za-z])[.)]\s")
 CLASSES = ("letters", "digits", "blanks", "sentence_marks", "inner_marks", "other")
+WIDTH = 1 + len(CLASSES)  # share of function words, shares of the classes
 _SENTENCE, _INNER, _BLANK = set(".!?…"), set(",'’\"“”«»„()–-"), {" ", "\xa0"}
 
 
@@ -136,7 +140,7 @@ class Profiles:
 
     The function words of a prose profile are those of its language, of another profile those of the language that
     has most. 'rest' stands in where lists, tables or junk had no example to learn from: no function word, and the
-    character classes of the whole sample, so that function words decide.
+    character classes of all texts, so that function words decide.
     """
 
     common: dict[str, set[str]]
@@ -207,66 +211,145 @@ class Profiles:
         return out
 
 
-def _centres(x: np.ndarray, k: int, steps: int = 10) -> np.ndarray:
-    """Means of at most ``k`` groups of rows: farthest-first seeds from the row nearest to the mean, then Lloyd's steps."""
-    x = np.unique(x, axis=0)
-    c = [x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin()]]
-    far = ((x - c[0]) ** 2).sum(axis=1)
-    while len(c) < k and far.max() > 1e-6:
-        c.append(x[far.argmax()])
-        far = np.minimum(far, ((x - c[-1]) ** 2).sum(axis=1))
-    m = np.stack(c)
+def evidence(text: str, base: Profiles) -> tuple[str | None, int, list[int], list[tuple[int, ...]]]:
+    """What a text adds to the fit: (its structural label, windows, sums of their shares, their different shares unless prose).
+
+    Shares are whole multiples of 1 / ``SCALE``: of the function words (of the label's language, else of the one with most), of the character classes.
+    """
+    label = structural_label(text, base.common)
+    k = len(base.langs)
+    own = base.langs.index(label[6:]) if label and label.startswith("prose_") else None
+    n, sums, rows = 0, [0] * WIDTH, set()
+    for window, words in windows(text):
+        f = base.features(window, words)
+        cls = f[1 + k :]
+        size = max(1, sum(cls))
+        pairs = [(max(f[1 : 1 + k], default=0) if own is None else f[1 + own], max(1, f[0])), *((c, size) for c in cls)]
+        row = tuple([(2 * SCALE * part + whole) // (2 * whole) for part, whole in pairs])
+        n += 1
+        sums = [x + y for x, y in zip(sums, row)]
+        if label in LABELS:
+            rows.add(row)
+    return label if n else None, n, sums, sorted(rows)
+
+
+def _near(x: np.ndarray, m: np.ndarray) -> Iterator[tuple]:
+    """Per centre nearest to some row of ``x``: (number, rows, sums, least distance, its smallest row, largest distance, its smallest row)."""
+    d = (((x / SCALE)[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
+    near = d.argmin(axis=1)
+    for j in np.unique(near).tolist():
+        y, e = x[near == j], d[near == j, j]
+        ends = [(float(v), min(y[e == v].tolist())) for v in (e.min(), e.max())]
+        yield j, len(y), y.sum(axis=0).tolist(), *ends[0], *ends[1]
+
+
+def _centres(fold: Callable[[dict[str, np.ndarray]], dict[str, dict[int, tuple]]], k: int = LAYOUTS, steps: int = 10) -> dict[str, np.ndarray]:
+    """Means of at most ``k`` groups of different rows per label: farthest-first seeds from the row nearest to the mean, then Lloyd's steps.
+
+    ``fold`` goes over all rows once: centres per label -> label -> centre -> the values of ``_near``. Labels without rows are left out.
+    """
+    mean = lambda got: np.array([s / (got[0] * SCALE) for s in got[1]])
+    row = lambda r: np.array(r) / SCALE
+    at = {label: mean(got[0])[None, :] for label, got in fold({x: np.zeros((1, WIDTH)) for x in LABELS}).items()}
+    if not at:
+        return at
+    at = {label: row(got[0][3])[None, :] for label, got in fold(at).items()}
+    for _ in range(k - 1):
+        far = {label: min((-g[4], g[5]) for g in got.values()) for label, got in fold(at).items()}
+        if all(-d <= 1e-6 for d, _ in far.values()):
+            break
+        at = {label: np.vstack([m, row(far[label][1])]) if -far[label][0] > 1e-6 else m for label, m in at.items()}
     for _ in range(steps):
-        near = ((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-        m = np.stack([x[near == j].mean(axis=0) if (near == j).any() else m[j] for j in range(len(m))])
-    return m
+        got = fold(at)
+        moved = {label: np.stack([mean(got[label][j]) if j in got[label] else c for j, c in enumerate(m)]) for label, m in at.items()}
+        if all((moved[label] == m).all() for label, m in at.items()):
+            break
+        at = moved
+    return at
+
+
+def _assemble(common: dict[str, set[str]], totals: dict[str | None, tuple[int, list[int]]], centres: dict[str, np.ndarray]) -> Profiles:
+    """Profiles from (windows, sums of their shares) per label, None among them, and the centres of the labels that are not prose."""
+    names, rows = [], []
+    for label in sorted(x for x in totals if x):
+        n, sums = totals[label]
+        for c in [np.array([s / (n * SCALE) for s in sums])] if label.startswith("prose_") else centres[label]:
+            names.append(label)
+            rows.append(c)
+    if not all(x in totals for x in LABELS):
+        n = sum(got[0] for got in totals.values())
+        every = [sum(got[1][i] for got in totals.values()) for i in range(1, WIDTH)]
+        names.append("rest")
+        rows.append(np.array([0.0, *([s / (n * SCALE) for s in every] if n else [1 / len(CLASSES)] * len(CLASSES))]))
+    x = np.stack(rows)
+    return Profiles(common, names, x[:, 0], x[:, 1:])
+
+
+def _bare(common: dict[str, set[str]]) -> Profiles:
+    return Profiles(common, [], np.zeros(0), np.zeros((0, len(CLASSES))))
 
 
 def fit_profiles(texts: list[str], common: dict[str, set[str]]) -> Profiles:
-    """Profiles from texts: those with a structural label, window by window; the others only count for 'rest'."""
-    langs = sorted(common)
-    base = Profiles(common, [], np.zeros(0), np.zeros((0, len(CLASSES))))
-    held: dict[str, list] = {}
-    every: list = []
+    """Profiles from texts at hand: those with a structural label, window by window; the others only count for 'rest'."""
+    base = _bare(common)
+    totals: dict[str | None, tuple[int, list[int]]] = {}
+    held: dict[str, set] = {}
     for t in texts:
-        got = [base.features(w, ws) for w, ws in windows(t)]
-        every += got
-        label = structural_label(t, common)
-        if label:
-            held.setdefault(label, []).extend(got)
-    names, words, chars = [], [], []
-    for label in sorted(held):
-        share, cls = base.shares(np.array(held[label], dtype=np.float64))
-        if label.startswith("prose_"):
-            names.append(label)
-            words.append(float(share[:, langs.index(label[6:])].mean()))
-            chars.append(cls.mean(axis=0))
-        else:
-            for c in _centres(np.column_stack([share.max(axis=1) if langs else np.zeros(len(cls)), cls]), LAYOUTS):
-                names.append(label)
-                words.append(float(c[0]))
-                chars.append(c[1:])
-    if all(k in held for k in ("list", "table", "junk")):
-        return Profiles(common, names, np.array(words), np.stack(chars))
-    cls = base.shares(np.array(every, dtype=np.float64))[1].mean(axis=0) if every else np.full(len(CLASSES), 1 / len(CLASSES))
-    return Profiles(common, [*names, "rest"], np.array([*words, 0.0]), np.stack([*chars, cls]))
-
-
-def learn_profiles(docs: DataFrame, common: DataFrame, text: str = "text", most_texts: int = FIT_TEXTS, most_chars: int = FIT_CHARS) -> Profiles:
-    """Profiles from a bounded sample of the corpus and function words (lang, word).
-
-    The sample holds at most ``most_texts`` different texts of at most ``most_chars`` characters, those of the smallest
-    hashes, so neither a text that is repeated often nor the order of rows matters; function words are a list as long as
-    the languages are many. Only the fit is bounded: the statistics of ``structure`` cover whole texts of all documents.
+        label, n, sums, rows = evidence(t, base)
+        m, old = totals.get(label, (0, [0] * WIDTH))
+        totals[label] = (m + n, [a + b for a, b in zip(old, sums)])
+        if rows:
+            held.setdefault(label, set()).update(rows)
+    x = {label: np.array(sorted(rows)) for label, rows in held.items()}
+    return _assemble(common, totals, _centres(lambda at: {k: {j: tuple(g) for j, *g in _near(x[k], m)} for k, m in at.items() if k in x}))
+
+
+def learn_profiles(docs: DataFrame, common: DataFrame, text: str = "text") -> Profiles:
+    """Profiles from all texts of the corpus, read whole, and function words (lang, word).
+
+    Different texts count once (by a 128-bit hash), so neither a text that is repeated often nor the order of rows matters; sums are
+    whole numbers, so neither do partitions: the profiles are those of ``fit_profiles`` over the different texts. A text is read once;
+    what it adds is written to the shared folder. The driver gets sums per label and per centre. Function words are a list as long as
+    the languages are many.
     """
     words: dict[str, set[str]] = {}
     for r in common.where("word IS NOT NULL AND lang IS NOT NULL").select("lang", "word").distinct().collect():
         words.setdefault(r.lang.lower(), set()).add(r.word.lower())
-    rows = docs.select(F.col(text).alias("t")).where(F.length("t").between(1, most_chars)).withColumn("h", F.xxhash64("t"))
-    share = min(1.0, 4 * most_texts / max(1, docs.count()))
-    near = F.pmod(F.col("h"), F.lit(1_000_003)) < int(1_000_003 * share) + 1
-    sample = rows.where(near).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(most_texts)
-    return fit_profiles([r.t for r in sample.select("t").collect()], words)
+    held = docs.sparkSession.sparkContext.broadcast(_bare(words))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+        for b in batches:
+            got = [(hashlib.blake2b(t.encode(), digest_size=16).digest(), *evidence(t, held.value)) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["key", "label", "n", "sums", "rows"])
+
+    texts = docs.select(F.col(text).alias("t")).where(F.length("t") > 0)
+    seen = scratch_table(texts.mapInArrow(look, "key binary, label string, n bigint, sums array<bigint>, rows array<array<bigint>>"), "text-shares")
+    add = [F.sum(F.col("sums")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(WIDTH)]
+    per = seen.select("key", "label", "n", "sums").distinct().groupBy("label").agg(F.sum("n").alias("n"), *add).collect()
+    x = scratch_table(seen.select("label", F.explode("rows").alias("x")).distinct(), "layout-shares")
+    return _assemble(words, {r.label: (r.n, [int(v) for v in r[2:]]) for r in per}, _centres(lambda at: _fold(x, at)))
+
+
+def _fold(rows: DataFrame, at: dict[str, np.ndarray]) -> dict[str, dict[int, tuple]]:
+    """``_near`` over all rows (label, x) of a table: one job, a row per batch and centre, one a centre to the driver."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()))
+        for b in batches:
+            labels = b.column("label").to_numpy(zero_copy_only=False)
+            x = b.column("x").flatten().to_numpy().reshape(-1, WIDTH)
+            got = [(k, *g) for k, m in at.items() if (labels == k).any() for g in _near(x[labels == k], m)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)], names=names)
+
+    names = ["label", "centre", "n", "sums", "least", "near", "largest", "far"]
+    parts = rows.mapInArrow(look, "label string, centre int, n bigint, sums array<bigint>, least double, near array<bigint>, largest double, far array<bigint>")
+    add = [F.sum(F.col("sums")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(WIDTH)]
+    ends = [F.min(F.struct("least", "near")).alias("near"), F.min(F.struct(-F.col("largest"), "far")).alias("far")]
+    out: dict[str, dict[int, tuple]] = {}
+    for r in parts.groupBy("label", "centre").agg(F.sum("n").alias("n"), *ends, *add).collect():
+        out.setdefault(r.label, {})[r.centre] = (r.n, [int(r[f"s{i}"]) for i in range(WIDTH)], *r.near, -r.far[0], r.far[1])
+    return out
 
 
 def profile_rows(profiles: Profiles) -> list[tuple]:

@@ -187,6 +187,36 @@ def test_profiles_are_learned_from_structure():
     assert quality.fit_profiles([], {}).read(["some text"])[0][1] == "rest"
 
 
+def test_profiles_are_those_of_all_texts(spark):
+    rnd = random.Random(4)
+    known = "the is and in it that there more to than this they have all of".split()
+    prose = [" ".join(rnd.choice(known) if k % 3 < rnd.choice([1, 2]) else f"b{'o' * rnd.randrange(1, 9)}" for k in range(24)) + f" {i}." for i in range(6000)]
+    lists = ["\n".join(f"- {'x' * (1 + i % 7)}{i} thing{j}" for i in range(6 + j)) for j in range(9)]
+    lists += ["\n".join(f"{i}) {'word' * (1 + i % 3)} {i * i}" for i in range(400))]  # more than 4,000 characters
+    tables = ["\n".join(f"{i};{i * 3};{'y' * (i % 5)}{i}" for i in range(n)) for n in range(5, 900, 50)]
+    texts = prose + lists + tables + ["3f 9a ff 00 1c 2d 77", "=" * 5000, "\t" * 60, "short one", ""]
+    common = spark.createDataFrame([("en", w) for w in known], "lang string, word string")
+    rows = [(t,) for t in texts + prose[:50] * 4 + lists[-1:] * 30 + [None]]
+    got = quality.learn_profiles(spark.createDataFrame(rows, "text string").repartition(3), common)
+    rnd.shuffle(rows)
+    assert quality.profile_rows(quality.learn_profiles(spark.createDataFrame(rows, "text string").repartition(7), common)) == quality.profile_rows(got)
+    assert quality.profile_rows(quality.fit_profiles(texts, got.common)) == quality.profile_rows(got)
+    f = np.array([got.features(w, ws) for t in prose for w, ws in quality.windows(t)], dtype=float)
+    want = [(f[:, 1] / f[:, 0]).mean(), *(f[:, 2:] / f[:, 2:].sum(axis=1, keepdims=True)).mean(axis=0)]
+    assert set(got.names) == {"prose_en", "list", "table", "junk"}
+    assert np.allclose(quality.profile_rows(got)[got.names.index("prose_en")][1:], want, rtol=0, atol=1e-9)
+    only = [r[0] for r in rows if r[0] in lists[-1:]]
+    assert quality.learn_profiles(spark.createDataFrame([(t,) for t in only], "text string"), common).names[0] == "list"
+
+
+def test_profiles_without_texts(spark):
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    for rows in ([], [(None,), ("",)], [(" " * 60,)]):
+        p = quality.learn_profiles(spark.createDataFrame(rows, "text string"), common)
+        assert p.names == ["rest"] and np.allclose(p.chars, 1 / 6)
+    assert quality.learn_profiles(spark.createDataFrame([("word " * 9,)], "text string"), common.limit(0)).names == ["junk", "rest"]
+
+
 def test_basic_stats(spark):
     from pyspark.sql import functions as F
 
