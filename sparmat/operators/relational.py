@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparmat.session import running_totals
+from sparmat.session import running_totals, scratch_table
 
 
 # --- metadata columns -------------------------------------------------------------------------------
@@ -144,11 +145,29 @@ def attach_best(df: DataFrame, extra: DataFrame, key: str, order: Sequence[Colum
     return out.drop(*[f"_n_{c}" for c in columns])
 
 
-def link_keys(a: DataFrame, b: DataFrame, key: str, left: str, right: str, prefix: str) -> DataFrame:
-    """Rows of two tables that share a key get one unified id, numbered in the order of (key, left, right)."""
-    both = a.select(key, F.col(left)).join(b.select(key, F.col(right)), key).withColumn("_one", F.lit(1))
-    n = running_totals(both, [key, left, right], ["_one"])
-    return n.select(key, left, right, F.concat(F.lit(prefix), F.col("run__one").cast("string")).alias("unified"))
+def link_keys(a: DataFrame, b: DataFrame, key: str, left: str, right: str, prefix: str, share: int = 1_000_000) -> DataFrame:
+    """Rows of two tables that share a key get one unified id, numbered in the order of (key, left, right), nulls last.
+
+    The pairs are neither sorted nor shuffled: a pair's number follows from the places of its two rows within the key and from the pairs of
+    the keys before. A key of more than ``share`` pairs is dealt to several tasks, whatever its part of the rows.
+    """
+    sides = []
+    for df, c, n in ((a, left, "l"), (b, right, "r")):
+        rows = df.where(F.col(key).isNotNull()).groupBy(key, c).agg(F.count(F.lit(1)).alias(f"_{n}"))
+        sides.append(scratch_table(running_totals(rows, [F.col(c).asc_nulls_last()], [f"_{n}"], [key]), "places"))
+    x, y = sides
+    size = x.groupBy(key).agg(F.sum("_l").alias("_nl")).join(y.groupBy(key).agg(F.sum("_r").alias("_nr")), key).withColumn("_pairs", F.col("_nl") * F.col("_nr"))
+    size = scratch_table(running_totals(size, [key], ["_pairs"]).select(key, "_nr", (F.col("run__pairs") - F.col("_pairs")).alias("_first"), F.ceil(F.col("_pairs") / share).alias("_shares"), "_pairs"), "pairs")
+    tasks = math.ceil((size.agg(F.sum("_pairs")).first()[0] or 1) / (8 * share))
+    # repeated rows: the _l rows of a left id alternate within each right id, so that they are numbered (right, left row, right row)
+    each = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    x = x.join(size, key).select(key, left, "_l", each("_l").alias("_i"), (F.col("_first") + (F.col("run__l") - F.col("_l")) * F.col("_nr") + 1).alias("_at"), F.col("run__l"), "_shares")
+    x = x.select(key, left, "_l", "_i", "_at", F.pmod(F.col("run__l") - F.col("_i"), "_shares").alias("_share"))
+    y = y.join(size, key).select(key, right, "_r", each("_r").alias("_j"), (F.col("run__r") - F.col("_r")).alias("_before"), "_shares")
+    y = y.select(key, right, "_r", "_j", "_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"))
+    both = x.repartition(tasks, key, "_share").join(y.repartition(tasks, key, "_share"), [key, "_share"])
+    n = F.col("_at") + F.col("_l") * F.col("_before") + F.col("_i") * F.col("_r") + F.col("_j")
+    return both.select(key, left, right, F.concat(F.lit(prefix), n.cast("string")).alias("unified"))
 
 
 def merge_samples(samples: Mapping[str, DataFrame], join: str) -> DataFrame:

@@ -149,3 +149,19 @@ def test_frames(spark):
     assert L.select_slots(obs, ["depth", "no"]).columns == ["obs_id"]
     z = spark.range(1).select(*[c.alias(n) for n, c in zip("zp", S.wald(F.lit(1.96), F.lit(1.0)))]).first()
     assert z.p == pytest.approx(0.05, abs=1e-3)
+
+
+def test_links_number_pairs_by_places(spark, monkeypatch):
+    rnd = random.Random(6)
+    a = [(rnd.choice("aaaaab") if i % 20 else None, None if i % 30 == 7 else rnd.randrange(25)) for i in range(60)] + [("only left", 1)]
+    b = [(rnd.choice("aaaab"), None if i == 3 else rnd.randrange(12)) for i in range(20)] + [("only right", 1), (None, 2)]
+    da, db = spark.createDataFrame(a, "k string, x int"), spark.createDataFrame(b, "k string, y int")
+    rows = []
+    monkeypatch.setattr(L, "running_totals", lambda df, *args, **kw: rows.append(df.count()) or running_totals(df, *args, **kw))
+    got = L.link_keys(da, db, "k", "x", "y", "u", share=40).collect()
+    last = lambda v: (v is None, v or 0)
+    pairs = sorted(((k, x, y) for k, x in a for j, y in b if k == j and k is not None), key=lambda r: (r[0], last(r[1]), last(r[2])))
+    assert [(r.k, r.x, r.y) for r in sorted(got, key=lambda r: int(r.unified[1:]))] == pairs
+    assert sorted(int(r.unified[1:]) for r in got) == list(range(1, len(pairs) + 1))
+    assert max(rows) <= len(a) < len(pairs)  # the rows of the tables are ordered, never the pairs
+    assert L.link_keys(da, db.limit(0), "k", "x", "y", "u").collect() == []
