@@ -165,3 +165,29 @@ def test_links_number_pairs_by_places(spark, monkeypatch):
     assert sorted(int(r.unified[1:]) for r in got) == list(range(1, len(pairs) + 1))
     assert max(rows) <= len(a) < len(pairs)  # the rows of the tables are ordered, never the pairs
     assert L.link_keys(da, db.limit(0), "k", "x", "y", "u").collect() == []
+
+
+def test_communities_do_not_depend_on_blocks(spark, monkeypatch):
+    rnd = random.Random(7)
+    pairs = {tuple(sorted(rnd.sample(range(70), 2))) for _ in range(420)}
+    edges = [(a - 9, b - 9, 1.0 + (a * b) % 3) for a, b in pairs] + [(3, 3, 2.0), (200, 201, 1.0)]
+    g = spark.createDataFrame(edges + [(b, a, w) for a, b, w in edges if a != b], "src bigint, dst bigint, weight double").repartition(3)
+    written = []
+    keep = C.scratch_table
+    monkeypatch.setattr(C, "scratch_table", lambda df, label: written.append(label) or keep(df, label))
+    whole = {tuple(r) for r in C.communities(g).collect()}
+    assert len(whole) == 72 and written.count("moves") <= 5  # the passes of a small level are one task
+    monkeypatch.setattr(C, "ALONE", 0)
+    monkeypatch.setattr(C, "BLOCK", 50)
+    assert {tuple(r) for r in C.communities(g).collect()} == whole
+    assert written.count("moves") > 10
+    nodes = np.array([0, 1, -5, 2**40, 12345, -(2**50)])
+    even = [r.e for r in spark.createDataFrame([(int(x),) for x in nodes], "n bigint").select((F.pmod(F.xxhash64("n", F.lit(4)), F.lit(2)) == 0).alias("e")).collect()]
+    assert C._free(nodes, 4).tolist() == even
+
+
+def test_stars_join_what_the_edges_join():
+    got = list(C._reduced(((np.array([a]), np.array([b])) for a, b in [(5, 9), (9, 7), (2, 3), (7, 4), (3, 2)]), most=2))
+    a, b = (np.concatenate(x) for x in zip(*got))
+    x, root = C._stars(a, b)
+    assert dict(zip(x.tolist(), root.tolist())) == {5: 4, 7: 4, 9: 4, 3: 2}
