@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,29 +48,183 @@ def enrichment_permutations(scored: DataFrame, signature: DataFrame, by: str, sc
     return real.select(by, "set", "es").join(s, [by, "set"], "left").select(by, "set", "es", F.try_divide("es", "m").alias("nes"), "p")
 
 
+_BITS = 12  # of an MD5, that name its bucket; 16 at most
+
+
+def _hashed(groups: list, n_perms: int) -> Callable:
+    tails = [f"/{p}".encode() for p in range(1, n_perms + 1)]
+
+    def run(batches):
+        number = {g: i for i, g in enumerate(groups)}
+        for b in batches:
+            ids = [x.encode() for x in b.column("id").to_pylist()]
+            hashes = [b"".join([md5(x + t).digest()[:2] for t in tails]) for x in ids]
+            own = [number[g] for g in b.column("grp").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("obs_id"), pa.array(own, pa.int32()), pa.array(hashes, pa.binary())], ["obs_id", "own", "hash"])
+
+    return run
+
+
+def _bucket(column, n_perms: int, bits: int) -> np.ndarray:
+    return (np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, n_perms) >> (16 - bits)).astype(np.int64)
+
+
+def _shuffled_groups(hashed: DataFrame, kind: str, counts: list[int], n_perms: int) -> Callable:
+    """A function for ``mapInArrow`` that gives (obs_id, labels): the numbers of the own group and of those in the permutations, packed to bits.
+
+    A permutation orders the observations by (MD5 of id and permutation, id) and deals the places to the groups in turn. Most buckets of
+    hashes fall to one group whole; only those that hold the last place of a group are ordered, and the rows on these places are the cuts.
+    """
+    perms, bits, buckets = np.arange(n_perms), _BITS, 1 << _BITS
+
+    def histogram(batches):
+        n = np.zeros(n_perms * buckets, np.int64)
+        for x in batches:
+            n += np.bincount((_bucket(x.column("hash"), n_perms, bits) + perms * buckets).ravel(), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["cell", "n"])
+
+    size = np.zeros(n_perms * buckets, np.int64)
+    for r in hashed.mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a bucket and permutation
+        size[r.cell] = r.n
+    size = size.reshape(n_perms, buckets)
+    start, last = np.cumsum(size, axis=1) - size, np.cumsum(counts)
+    low = np.searchsorted(last, start + 1)
+    whole = np.where((size == 0) | (low == np.searchsorted(last, start + size)), low, -1)
+
+    def opened(batches):
+        for x in batches:
+            r, p = np.nonzero(whole[perms, cells := _bucket(x.column("hash"), n_perms, bits)] < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(p + 1), pa.array(cells[r, p]), x.column("obs_id").take(pa.array(r)), x.column("id").take(pa.array(r))], ["perm", "bucket", "obs_id", "id"])
+
+    wanted = [(p + 1, int(b), int(e - start[p, b])) for p, b in np.argwhere(whole < 0).tolist() for e in last if start[p, b] < e < start[p, b] + size[p, b]]
+    cuts: dict[tuple[int, int], list] = {}
+    if wanted:
+        x = hashed.select("obs_id", F.col("obs_id").cast("string").alias("id"), "hash").mapInArrow(opened, f"perm long, bucket long, obs_id {kind}, id string")
+        x = ranked(x.select("perm", "bucket", "obs_id", F.md5(F.concat_ws("/", "id", F.col("perm").cast("string"))).alias("h")), ["perm", "bucket"], ["h", "obs_id"], "place")
+        at = hashed.sparkSession.createDataFrame(wanted, "perm long, bucket long, place long")
+        for r in x.join(at, ["perm", "bucket", "place"]).collect():  # a row a group and permutation
+            cuts.setdefault((r.perm - 1, r.bucket), []).append((r.h, r.obs_id))
+    cuts = {k: sorted(v) for k, v in cuts.items()}
+    width = max(1, (len(counts) - 1).bit_length())
+
+    def run(batches):
+        for x in batches:
+            cells = _bucket(x.column("hash"), n_perms, bits)
+            labels = np.c_[x.column("own").to_numpy(), whole[perms, cells]]
+            rows = np.nonzero(labels < 0)
+            for r, p in zip(*(v.tolist() for v in rows)):
+                p, ident = p - 1, x.column("obs_id")[r].as_py()
+                h = md5(f"{x.column('id')[r].as_py()}/{p + 1}".encode()).hexdigest()
+                labels[r, p + 1] = low[p, cells[r, p]] + bisect_left(cuts[p, cells[r, p]], (h, ident))
+            packed = np.packbits(((labels[:, :, None] >> np.arange(width)) & 1).astype(np.uint8).reshape(len(labels), -1), axis=1)
+            yield pa.RecordBatch.from_arrays([x.column("obs_id"), pa.array([v.tobytes() for v in packed], pa.binary())], ["obs_id", "labels"])
+
+    return run
+
+
+def _label_sums(n_groups: int, n_perms: int) -> Callable:
+    """(var_id, sums, rows, values) of rows (var_id, value, labels) whose variables lie in one partition each: sums per (permutation, group),
+    rows and values that are not null per own group."""
+    width, k = max(1, (n_groups - 1).bit_length()), (n_perms + 1) * n_groups
+
+    def summed(held):
+        t = pa.Table.from_batches(held)
+        value = t.column("value").to_numpy()
+        there = t.column("value").is_valid().to_numpy()
+        value = np.where(there, value, 0.0)
+        coded = t.column("var_id").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        at, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        raw = np.frombuffer(b"".join(t.column("labels").to_pylist()), np.uint8).reshape(len(value), -1)
+        bits = np.unpackbits(raw, axis=1, count=(n_perms + 1) * width).reshape(len(value), n_perms + 1, width)
+        out = np.empty((n, k + 2 * n_groups))
+        for p in range(n_perms + 1):
+            key = at * n_groups + sum(bits[:, p, j].astype(np.int64) << j for j in range(width))
+            out[:, p * n_groups : (p + 1) * n_groups] = np.bincount(key, value, n * n_groups).reshape(n, -1)
+            if p == 0:
+                for j, w in enumerate((np.ones(len(value)), there)):
+                    out[:, k + j * n_groups : k + (j + 1) * n_groups] = np.bincount(key, w, n * n_groups).reshape(n, -1)
+        return coded.dictionary, out
+
+    def merged(a, b):
+        if a is None:
+            return b
+        ids = pa.concat_arrays([a[0], b[0]]).dictionary_encode()
+        out = np.zeros((len(ids.dictionary), a[1].shape[1]))
+        at = ids.indices.to_numpy()
+        out[at[: len(a[1])]] = a[1]
+        out[at[len(a[1]) :]] += b[1]
+        return ids.dictionary, out
+
+    def run(batches):
+        total, held, n = None, [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 200_000:
+                total, held, n = merged(total, summed(held)), [], 0
+        if n:
+            total = merged(total, summed(held))
+        for i in range(0, len(total[1]) if total else 0, 10_000):
+            rows = [r.tobytes() for r in total[1][i : i + 10_000]]
+            yield pa.RecordBatch.from_arrays([total[0].slice(i, len(rows)), pa.array(rows, pa.binary())], ["var_id", "sums"])
+
+    return run
+
+
+def _pair_p(counts: list[int], n_perms: int) -> Callable:
+    """(source, target, ligand, receptor, lr_mean, p), groups by number, of rows (ligand, receptor, l, r) with the sums of both."""
+    g = len(counts)
+    k = (n_perms + 1) * g
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sides = []
+            for c in "lr":
+                x = np.frombuffer(b"".join(b.column(c).to_pylist())).reshape(b.num_rows, -1)
+                m = x[:, :k].reshape(len(x), n_perms + 1, g) / np.array(counts)
+                true = np.where(x[:, k + g :] > 0, m[:, 0], np.nan)
+                sides.append((m[:, 1:], true, x[:, k : k + g] > 0, x[:, k + g :] > 0))
+            (ml, tl, sl, vl), (mr, tr, sr, vr) = sides
+            for s in range(g):
+                for t in range(g):
+                    at = np.flatnonzero(sl[:, s] & sr[:, t])
+                    lr, v = (tl[at, s] + tr[at, t]) / 2, np.round((ml[at, :, s] + mr[at, :, t]) / 2, 9)
+                    p = ((v >= np.round(lr, 9)[:, None]) | np.isnan(v)).mean(axis=1)
+                    known = vl[at, s] & vr[at, t]
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(at), s)), pa.array(np.full(len(at), t)), b.column("ligand").take(rows), b.column("receptor").take(rows), pa.array(lr, mask=~known), pa.array(np.where(known, p, 0.0))
+                    ], ["source", "target", "ligand", "receptor", "lr_mean", "p"])
+
+    return run
+
+
 def label_permutation_p(m, by: str, resource: DataFrame, n_perms: int) -> DataFrame:
     """(source, target, ligand, receptor, lr_mean, p): share of ``n_perms`` shuffles of the groups' labels among the observations with
-    (L + R) / 2 at least as large. A shuffle keeps the sizes of the groups; a mean without entries is 0."""
-    used = resource.select(F.col("ligand").alias("var_id")).unionByName(resource.select(F.col("receptor").alias("var_id"))).distinct()
-    e = m.entries.join(used, "var_id", "left_semi")
-    n = m.obs.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col(by).isNotNull())
-    upto = F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))  # one row a group
-    size = scratch_table(n.select(F.col(by).alias("grp"), "n", (upto - F.col("n")).alias("a"), upto.alias("b")), "groups")
-    bounds = size.agg(F.array_sort(F.collect_list(F.struct("b", "grp"))).alias("g"))  # one row, an entry a group
-    o = shuffled_place(m.obs.where(F.col(by).isNotNull()).select("obs_id"), [], "obs_id", n_perms)
-    o = o.join(F.broadcast(bounds)).withColumn("grp", F.element_at(F.filter("g", lambda g: F.col("place") <= g["b"]), 1)["grp"]).select("obs_id", "perm", "grp")
-    lab = o.unionByName(m.obs.where(F.col(by).isNotNull()).select("obs_id", F.lit(0).alias("perm"), F.col(by).alias("grp")))
-    mean = e.join(lab, "obs_id").groupBy("perm", "grp", "var_id").agg(F.sum("value").alias("s")).join(size, "grp").select("perm", "grp", "var_id", (F.col("s") / F.col("n")).alias("mean"))
-    mean = scratch_table(mean, "permuted-means")
-    side = lambda role, name, to: mean.select("perm", F.col("grp").alias(name), F.col("var_id").alias(role), F.col("mean").alias(to))
-    key = ["source", "target", "ligand", "receptor"]
-    true = mean.where("perm = 0")
-    truth = resource.distinct().join(true.select(F.col("grp").alias("source"), F.col("var_id").alias("ligand"), F.col("mean").alias("l")), "ligand")
-    truth = truth.join(true.select(F.col("grp").alias("target"), F.col("var_id").alias("receptor"), F.col("mean").alias("r")), "receptor").select(*key, ((F.col("l") + F.col("r")) / 2).alias("lr_mean"))
-    x = truth.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perms))))
-    x = x.join(side("ligand", "source", "l"), ["perm", "source", "ligand"], "left").join(side("receptor", "target", "r"), ["perm", "target", "receptor"], "left")
-    v = (F.coalesce("l", F.lit(0.0)) + F.coalesce("r", F.lit(0.0))) / 2
-    return x.groupBy(*key).agg(F.first("lr_mean").alias("lr_mean"), F.avg((F.round(v, 9) >= F.round("lr_mean", 9)).cast("double")).alias("p"))
+    (L + R) / 2 at least as large. A shuffle keeps the sizes of the groups; a mean without entries is 0. Entries of the same observation and
+    variable add up. An observation carries its labels of all shuffles, so entries are shuffled once to it and once to their variable."""
+    obs = m.obs.where(F.col(by).isNotNull() & F.col("obs_id").isNotNull())
+    groups = obs.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(by).collect()  # one row a group
+    names, counts = [r[0] for r in groups], [r.n for r in groups]
+    kinds = {c: t.schema[c].dataType.simpleString() for c, t in (("obs_id", m.obs), ("var_id", m.entries), ("ligand", resource), ("receptor", resource))}
+    hashed = obs.select("obs_id", F.col("obs_id").cast("string").alias("id"), F.col(by).alias("grp"))
+    hashed = scratch_table(hashed.mapInArrow(_hashed(names, n_perms), f"obs_id {kinds['obs_id']}, own int, hash binary"), "hashed")
+    labels = _shuffled_groups(hashed, kinds["obs_id"], counts, n_perms)
+    lab = hashed.select("obs_id", F.col("obs_id").cast("string").alias("id"), "own", "hash").mapInArrow(labels, f"obs_id {kinds['obs_id']}, labels binary")
+    e = m.entries.select("obs_id", "var_id", F.col("value").cast("double").alias("value")).where(F.col("var_id").isNotNull())
+    e = e.join(lab, "obs_id").select("var_id", "value", "labels").repartition("var_id")
+    sums = scratch_table(e.mapInArrow(_label_sums(len(names), n_perms), f"var_id {kinds['var_id']}, sums binary"), "permuted-sums")
+    pairs = resource.select("ligand", "receptor").distinct()
+    for c, to in (("ligand", "l"), ("receptor", "r")):
+        pairs = pairs.join(sums.select(F.col("var_id").alias(c), F.col("sums").alias(to)), c)
+    pairs = pairs.select("ligand", "receptor", "l", "r").mapInArrow(_pair_p(counts, n_perms), f"source long, target long, ligand {kinds['ligand']}, receptor {kinds['receptor']}, lr_mean double, p double")
+    if not names:
+        return pairs.select(*[F.lit(None).cast(m.obs.schema[by].dataType).alias(c) for c in ("source", "target")], "ligand", "receptor", "lr_mean", "p")
+    name = F.array(*[F.lit(g).cast(m.obs.schema[by].dataType) for g in names])
+    return pairs.select(*[F.element_at(name, (F.col(c) + 1).cast("int")).alias(c) for c in ("source", "target")], "ligand", "receptor", "lr_mean", "p")
 
 
 def poisson_tail(count: Column, rate: Column, terms: int = 200) -> Column:

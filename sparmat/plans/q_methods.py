@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparmat.model import orders_matrix
+from sparmat.model import Matrix, orders_matrix
 from sparmat.operators import aggregate as A
 from sparmat.operators import communities as C
 from sparmat.operators import embedding as E
@@ -99,7 +99,9 @@ def wald_tests(s, d):
 
 
 def lr_permutation(s, d):
-    return _r(S.label_permutation_p(orders_matrix(s, d), "status", _resource(orders_matrix(s, d)), 20), "lr_mean", "p")
+    m = orders_matrix(s, d)
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("obs_id"), F.col("l_partkey").alias("var_id"), F.col("l_quantity").alias("value"))
+    return _r(S.label_permutation_p(Matrix(lines, m.obs, m.var), "status", _resource(m), 20), "lr_mean", "p")
 
 
 def _bins(s, d):

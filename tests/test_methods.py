@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+from hashlib import md5
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparmat.model import Matrix
 from sparmat.operators import communities as C
 from sparmat.operators import embedding as E
 from sparmat.operators import relational as L
@@ -191,3 +193,36 @@ def test_stars_join_what_the_edges_join():
     a, b = (np.concatenate(x) for x in zip(*got))
     x, root = C._stars(a, b)
     assert dict(zip(x.tolist(), root.tolist())) == {5: 4, 7: 4, 9: 4, 3: 2}
+
+
+def test_label_permutations_against_a_loop(spark, monkeypatch):
+    rnd = random.Random(8)
+    obs = [(i, rnd.choice(["a"] * 5 + ["b"] * 3 + ["c", None])) for i in range(90)]
+    cells = [(rnd.randrange(95), rnd.randrange(12), float(rnd.randrange(4))) for _ in range(400)] + [(obs[0][0], 40, None)]
+    e = spark.createDataFrame(cells, "obs_id long, var_id int, value double").repartition(3)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(0, 1), (40, 2)], "ligand int, receptor int")
+    ordered = []
+    monkeypatch.setattr(S, "ranked", lambda df, *args, **kw: ordered.append(df.count()) or ranked(df, *args, **kw))
+    monkeypatch.setattr(S, "_BITS", 2)
+    m = Matrix(e, spark.createDataFrame(obs, "obs_id long, status string"), None)
+    got = {tuple(r[:4]): (r.lr_mean, r.p) for r in S.label_permutation_p(m, "status", pairs, 6).collect()}
+    assert 0 < max(ordered) < 6 * sum(g is not None for _, g in obs)  # only buckets that hold the last place of a group are ordered
+    own = {i: g for i, g in obs if g}
+    n = {g: list(own.values()).count(g) for g in "abc"}
+    labels = [own]
+    for p in range(1, 7):
+        order = sorted(own, key=lambda i: (md5(f"{i}/{p}".encode()).hexdigest(), i))
+        labels.append(dict(zip(order, [g for g in "abc" for _ in range(n[g])])))
+    mean = lambda p, g, v: sum(x for i, w, x in cells if w == v and labels[p].get(i) == g and x is not None) / n[g]
+    there = {(own[i], v) for i, v, x in cells if i in own}
+    known = {(own[i], v) for i, v, x in cells if i in own and x is not None}
+    want = {}
+    for a in "abc":
+        for b in "abc":
+            for v, w in {(i, i + 1) for i in range(12)} | {(40, 2)}:
+                if (a, v) in there and (b, w) in there:
+                    lr = (mean(0, a, v) + mean(0, b, w)) / 2
+                    share = sum(round((mean(p, a, v) + mean(p, b, w)) / 2, 9) >= round(lr, 9) for p in range(1, 7)) / 6
+                    want[a, b, v, w] = (pytest.approx(lr), pytest.approx(share)) if (a, v) in known and (b, w) in known else (None, 0.0)
+    assert got == want
+    assert S.label_permutation_p(Matrix(e, m.obs.limit(0), None), "status", pairs, 6).collect() == []
